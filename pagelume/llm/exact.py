@@ -170,3 +170,11 @@ def drop_exact_duplicates(docs: DataFrame, history_share: float = 0.5) -> DataFr
     """``docs`` with one row per distinct text, all columns as they were."""
     gone = winners(docs, history_share).filter("uid != winner_uid").select("uid")
     return docs.select(whole_row(docs).alias("r"), row_id().alias("uid")).join(gone, "uid", "left_anti").select("r.*")
+
+
+def duplicates_sql(table: str = "documents") -> str:
+    """The same as DuckDB SQL, for distinct doc_ids."""
+    return (
+        "select doc_id, case when text is null then doc_id else min(doc_id) over (partition by text) end as winner_doc_id, "
+        f"text is null or doc_id = min(doc_id) over (partition by text) as keep from {table}"
+    )
