@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelume.llm import chat, exact, lines, mixing, packing, quality, runindex, simhash, warc
+from pagelume.llm import chat, exact, lines, mixing, packing, pii, quality, runindex, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_data(_documents(spark, sf_dir))
+
+
 def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runindex.repeated_passages(_documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ QUERIES = (
     op2_chat_format,
     op3_exact_dedup,
     op4_mixing,
+    op5_private_data,
     op6_run_index,
     op7_quality_rules,
     op8_line_dedup,
