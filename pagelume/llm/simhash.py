@@ -158,29 +158,45 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 # --- search and verification ----------------------------------------------
 
-KEYS_AT_ONCE = 2000
+KEYS_AT_ONCE = 4000
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per key: pair of segments and an index of either."""
+    """Keys of each node: a row per pair of segments and index of the first, with all indices of the second packed in two numbers."""
     for whole in batches:
         for at in range(0, whole.num_rows, KEYS_AT_ONCE):
             batch = whole.slice(at, KEYS_AT_ONCE)
             node = batch.column("node").to_numpy(zero_copy_only=False)
             c0, c1 = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("c0", "c1"))
-            ind = [golay_indices(batch.column(f"s{i}").to_numpy(zero_copy_only=False))[0] for i in range(SEGMENTS)]
-            key, row = [], []
+            ind, cnt = zip(*(golay_indices(batch.column(f"s{i}").to_numpy(zero_copy_only=False)) for i in range(SEGMENTS)))
+            packed = []
+            for x, n in zip(ind, cnt):
+                y = np.maximum(x, 0)
+                low = sum(y[:, t] << (12 * t) for t in range(5))
+                packed.append((low, y[:, 5] | (y[:, 6] << 12) | (n.astype(np.int64) << 24)))
+            key, row, low, high = [], [], [], []
             for p, (i, j) in enumerate(combinations(range(SEGMENTS), 2)):
-                both = (ind[i] >= 0)[:, :, None] & (ind[j] >= 0)[:, None, :]
-                k = (p << 24) + (ind[i][:, :, None] << 12) + ind[j][:, None, :]
-                key.append(k[both])
-                row.append(np.nonzero(both)[0])
+                r, t = np.nonzero(ind[i] >= 0)
+                key.append((p << 12) + ind[i][r, t])
+                row.append(r)
+                low.append(packed[j][0][r])
+                high.append(packed[j][1][r])
             r = np.concatenate(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(key).astype(np.int32)), pa.array(node[r]), pa.array(c0[r]), pa.array(c1[r])], names=["k", "node", "c0", "c1"]
+                [pa.array(np.concatenate(key).astype(np.int32))] + [pa.array(x) for x in (node[r], c0[r], c1[r], np.concatenate(low), np.concatenate(high))],
+                names=["k", "node", "c0", "c1", "low", "high"],
             )
 
 
+def _unpacked(k: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(full keys, row of each) of rows made by ``_keys``."""
+    n = high >> 24
+    row = np.repeat(np.arange(len(k)), n)
+    t = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    index = np.where(t < 5, low[row] >> (12 * np.minimum(t, 4)), high[row] >> (12 * np.maximum(t - 5, 0))) & 4095
+    return (k[row].astype(np.int64) << 12) + index, row
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
@@ -220,9 +236,11 @@ class _Forest:
         return made
 
 
-def link(key: np.ndarray, node: np.ndarray, check: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def link(key: np.ndarray, node: np.ndarray, check: np.ndarray, row: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that span, within each key's bucket, all pairs of nodes within ``limit`` check bits.
 
+    Entry i puts node[row[i]], with its check bits, into the bucket key[i].
+
     Buckets up to DENSE rows are compared pair by pair, all at once by shifts.
     Larger ones go pivot by pivot: a pivot is compared with the whole bucket
     and takes its matches along, so pairs within one pivot's reach need no
@@ -230,8 +248,8 @@ def link(key: np.ndarray, node: np.ndarray, check: np.ndarray, limit: int) -> tu
     until their clusters meet or all pairs are done, so no pair is lost.
     """
     order = np.argsort(key, kind="stable")
-    key, node, check = key[order], node[order], check[order]
     names, ids = np.unique(node, return_inverse=True)
+    key, check, ids = key[order], check[row[order]], ids[row[order]]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(key)))
     of = np.repeat(size, size)
@@ -284,15 +302,16 @@ def near_edges(fp: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Edges (a, b) over classes of equal check bits; a class is named by its least uid."""
     classes = fp.groupBy("c0", "c1").agg(F.min(F.struct("uid", "s0", "s1", "s2", "s3")).alias("x"))
     nodes = classes.select(F.col("x.uid").alias("node"), *[f"x.s{i}" for i in range(SEGMENTS)], "c0", "c1")
-    keys = nodes.mapInArrow(_keys, "k int, node bigint, c0 bigint, c1 bigint")
+    keys = nodes.mapInArrow(_keys, "k int, node bigint, c0 bigint, c1 bigint, low bigint, high bigint")
     parts = int(fp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        got = list(batches)
+        if not got:
             return
-        check = np.stack([table.column(c).to_numpy() for c in ("c0", "c1")], axis=1)
-        a, b = link(table.column("k").to_numpy(), table.column("node").to_numpy(), check, max_distance)
+        k, node, c0, c1, low, high = (x.to_numpy() for x in pa.Table.from_batches(got).columns)
+        key, row = _unpacked(k, low, high)
+        a, b = link(key, node, np.stack([c0, c1], axis=1), row, max_distance)
         yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     return keys.repartition(2 * parts, "k").mapInArrow(run, "a bigint, b bigint")
