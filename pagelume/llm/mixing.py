@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelume.llm.storage import whole_row
+from pagelume.llm.storage import whole_row, written
 
 #: Target weight of a source is its tokens to this power, made to sum to 1.
 ALPHA = 0.5
@@ -49,7 +49,7 @@ def mix(docs: DataFrame, alpha: float = ALPHA, weights: dict[str, float] | None
     of its own.  Null and empty texts have no tokens; a row of a source without
     any tokens appears once.  An empty table stays empty.
     """
-    rates = source_rates(docs, alpha, weights).select(F.col("source").alias("s"), "rate")
+    rates = written(source_rates(docs, alpha, weights).select(F.col("source").alias("s"), "rate"), "rates")
     rows = docs.select(whole_row(docs).alias("r"), F.col("source").cast("string").alias("source"), F.expr(draw("doc_id", seed)).alias("u"))
     joined = rows.join(rates, F.col("source").eqNullSafe(F.col("s")))
     n = F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("bigint")
