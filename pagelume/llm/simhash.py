@@ -198,7 +198,7 @@ def _unpacked(k: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)  # of a signed number the bits of its absolute value would count
 
 
 DENSE = 512

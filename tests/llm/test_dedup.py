@@ -110,7 +110,7 @@ def test_link_finds_every_pair_of_small_and_large_buckets(monkeypatch):
 
         for i in range(120):
             for j in range(i):
-                if key[i] == key[j] and np.bitwise_count(check[i] ^ check[j]).sum() <= 5:
+                if key[i] == key[j] and np.bitwise_count((check[i] ^ check[j]).view(np.uint64)).sum() <= 5:
                     exp[eroot(int(node[i]))] = eroot(int(node[j]))
         same = lambda f: {(i, j) for i in range(120) for j in range(i) if f(int(node[i])) == f(int(node[j]))}
         assert same(root) == same(eroot)
@@ -133,7 +133,7 @@ def test_near_search_recall_against_brute_force(spark):
     means = simhash.language_means(df)
     seg, chk, n = simhash.fingerprint(pa.array([r[1] for r in rows]), means)
     bits = sum(np.bitwise_count(seg[:, None, i] ^ seg[None, :, i]) for i in range(4)).astype(int)
-    dist = np.bitwise_count(chk[:, None, :] ^ chk[None, :, :]).sum(2)
+    dist = np.bitwise_count((chk[:, None, :] ^ chk[None, :, :]).view(np.uint64)).sum(2)
     pairs = [(i, j) for i in range(len(rows)) for j in range(i) if dist[i, j] <= simhash.MAX_DISTANCE and n[i] >= simhash.MIN_WORDS]
     idx = [simhash.golay_indices(seg[:, k])[0] for k in range(4)]
     share = sum(((x[:, :, None, None] == x.T[None, None, :, :].transpose(0, 1, 3, 2)) & (x >= 0)[:, :, None, None]).any((1, 3)).astype(int) for x in idx)
