@@ -51,11 +51,14 @@ def reason_histogram(outcomes: DataFrame) -> DataFrame:
 
 
 def placement_facts(placements: DataFrame) -> DataFrame:
-    """Placements with skew, shear, turn and degeneracy of their matrix m0..m5."""
+    """Placements with skew, shear, turn and degeneracy of their matrix m0..m5.
+
+    Angles are kept to 1e-9 degrees, so that the last bit of an arctangent
+    doesn't move a square placement out of the bin of zero.
+    """
     m = F.array(*[F.col(f"m{i}") for i in range(6)])
-    return placements.withColumns(
-        {"skew_deg": G.skew_degrees(m), "shear_deg": G.shear_degrees(m), "placement_deg": G.placement_degrees(m), "degenerate": F.coalesce(G.degenerate(m), F.lit(False))}
-    )
+    angles = {"skew_deg": G.skew_degrees(m), "shear_deg": G.shear_degrees(m), "placement_deg": G.placement_degrees(m)}
+    return placements.withColumns({k: F.round(v, 9) for k, v in angles.items()} | {"degenerate": F.coalesce(G.degenerate(m), F.lit(False))})
 
 
 def bucket(value: Column) -> Column:

@@ -67,8 +67,8 @@ def divert_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FACTS = f"""p as ({S.PLACEMENTS}), f as (select *, coalesce((m0 = 0 and m1 = 0) or (m2 = 0 and m3 = 0), false) as degenerate,
-degrees(greatest(atan2(abs(m1), abs(m0)), atan2(abs(m2), abs(m3)))) as skew_deg, degrees(atan2(m1, m0)) as placement_deg,
-case when not ((m0 = 0 and m1 = 0) or (m2 = 0 and m3 = 0)) then abs(90 - degrees(atan2(abs(m0 * m3 - m1 * m2), m0 * m2 + m1 * m3))) end as shear_deg from p)"""
+round(degrees(greatest(atan2(abs(m1), abs(m0)), atan2(abs(m2), abs(m3)))), 9) as skew_deg, round(degrees(atan2(m1, m0)), 9) as placement_deg,
+case when not ((m0 = 0 and m1 = 0) or (m2 = 0 and m3 = 0)) then round(abs(90 - degrees(atan2(abs(m0 * m3 - m1 * m2), m0 * m2 + m1 * m3))), 9) end as shear_deg from p)"""
 
 _BIN = "case " + " ".join(f"when {{0}} <= {e:g}e0 then {i}" for i, e in enumerate(census.EDGES[:-1])) + " when {0} is not null then 9 end"
 _HIT = "placement_index >= 0 and not degenerate and shear_deg > {0}e0 and shear_deg <= 2 and skew_deg <= 2"
