@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagelume.functions import checks as K
 from pagelume.functions import classify as C
 from pagelume.functions import geometry as G
 from pagelume.functions import text as T
 from pagelume.operators import census, graphs, provenance, raster, sampling, skew
+from pagelume.operators import pixels as P
 from pagelume.plans import standin as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -599,3 +601,82 @@ def applied_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def escaped_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """texts as parenthesised strings."""
     return S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.escape_literal(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("escaped"))
+
+
+# --- checks ---------------------------------------------------------------
+
+
+@query(f"""with p as ({S.PLACEMENTS}), k as (select *, case m0 when 0 then 3 else width % 9 end as bits, case height % 4 when 0 then 'DeviceRGB' when 1 then 'Lab' else 'DeviceGray' end as space from p where placement_index >= 0),
+r as (select case when bits not in (1, 2, 4, 8) then 'bad-depth' when space = 'Lab' then 'bad-colour-space' when filter = 'unknown' then 'bad-filter'
+when filter in ('JBIG2Decode', 'CCITTFaxDecode') and bits <> 1 then 'bilevel-depth' else '' end as reason, filter = 'DCTDecode' and space <> 'Lab' and width % 3 <> 0 and height % 5 <> 0 as again from k)
+select reason, count(*) as images, count(*) filter (where again) as recompressible from r group by reason""")
+def image_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that can't be put into a document, and those that may be coded again."""
+    p = S.derive(spark, sf_dir, S.PLACEMENTS).filter("placement_index >= 0")
+    bits = F.when(F.col("m0") == 0, 3).otherwise(F.col("width") % 9)
+    space = F.when(F.col("height") % 4 == 0, "DeviceRGB").when(F.col("height") % 4 == 1, "Lab").otherwise("DeviceGray")
+    no = F.lit(False)
+    rows = p.select(
+        K.encoded_image_reason(F.col("width"), F.col("height"), bits, space, F.col("filter"), F.lit("x")).alias("reason"),
+        K.recompressible(F.col("filter"), space, F.col("width") % 3 == 0, no, no, F.col("height") % 5 == 0).alias("again"),
+    )
+    return rows.groupBy("reason").agg(F.count("*").alias("images"), F.count_if("again").alias("recompressible"))
+
+
+@query("""select case when l_partkey % 11 = 0 then 'no-source' when l_linenumber > l_suppkey % 7 then 'no-page' when l_partkey % 360 not in (0, 90, 180, 270) and l_partkey % 2 = 0 then 'bad-rotation'
+when l_suppkey % 2 = 0 and l_discount <> 0 then 'cropped' else '' end as reason, count(*) as picks from lineitem group by 1""")
+def pick_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that can't be taken over."""
+    l = S.table(spark, sf_dir, "lineitem")
+    source = F.when(F.col("l_partkey") % 11 != 0, F.col("l_partkey"))
+    rotate = F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey") % 360).otherwise(0)
+    reason = K.pick_reason(source, F.col("l_linenumber"), F.col("l_suppkey") % 7, rotate, F.col("l_discount"), F.col("l_suppkey") % 2 == 0)
+    return l.select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("picks"))
+
+
+@query("""with b as (select l_partkey % 4 as depth, l_suppkey % 3 as surplus, l_quantity % 13 = 0 as broken, l_linenumber <> 7 as filled from lineitem)
+select case when not filled then 'empty' when broken then 'lex-error' when depth > 0 and surplus > 0 then 'both' when depth > 0 then 'unclosed' when surplus > 0 then 'surplus' else '' end as reason, count(*) as pages from b group by 1""")
+def state_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C20: content streams by the balance of their saved states."""
+    l = S.table(spark, sf_dir, "lineitem")
+    error = F.when(F.col("l_quantity") % 13 == 0, "cut off")
+    reason = K.balance_reason(F.col("l_linenumber") != 7, F.col("l_partkey") % 4, F.col("l_suppkey") % 3, error)
+    return l.select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("pages"))
+
+
+@query(f"""with {_PIXELS_SQL}, b as (select vec_id as image, cast(vec_id % 4 as int) as x0, cast(vec_id % 3 as int) as y0, cast(vec_id % 4 + 4 as int) as x1, cast(vec_id % 3 + 5 as int) as y1, vec_id % 10 <> 0 as has from embeddings),
+k as (select px.*, has, x0, y0, x1, y1 from px join b on px.image = b.image where v < 128)
+select image as page, count(*) as ink, count(*) filter (where not (has and x >= x0 and x < x1 and y >= y0 and y < y1)) as outside_0,
+count(*) filter (where not (has and x >= x0 - 1 and x < x1 + 1 and y >= y0 - 1 and y < y1 + 1)) as outside_1, count(*) filter (where not (has and x >= x0 - 2 and x < x1 + 2 and y >= y0 - 2 and y < y1 + 2)) as outside_2 from k group by image""")
+def ink_outside_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ink of a rendering outside its raster's box, by guard."""
+    px = pixels(spark, sf_dir).select(F.col("image").alias("page"), "x", "y", (F.col("v") < 128).alias("ink"))
+    i = F.col("vec_id")
+    boxes = S.table(spark, sf_dir, "embeddings").filter(i % 10 != 0).select(i.alias("page"), F.array(i % 4, i % 3, i % 4 + 4, i % 3 + 5).alias("box"))
+    return P.ink_outside(px, boxes)
+
+
+@query(f"""with {_PIXELS_SQL}, w as (select image, x, y, v < 100 as ink, v >= 140 as washed from px), b as (select image, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from w where washed group by image),
+k as (select w.*, exists (select 1 from w n where n.image = w.image and n.ink and abs(n.x - w.x) <= 1 and abs(n.y - w.y) <= 1) as near, coalesce(w.x between x0 and x1 and w.y between y0 and y1, false) as within from w left join b on w.image = b.image)
+select image as page, count(*) filter (where washed and not near) as deep, count(*) filter (where washed and near) as edge, count(*) filter (where not washed and within) as clear, count(*) filter (where not within) as outside from k group by image""")
+def wash_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of a background wash by their place."""
+    px = pixels(spark, sf_dir)
+    return P.wash_classes(px.select(F.col("image").alias("page"), "x", "y", (F.col("v") >= 140).alias("washed"), (F.col("v") < 100).alias("ink")))
+
+
+@query("""select o_custkey as doc, min(o_orderkey) as o_orderkey_least, case when max(o_orderkey) > min(o_orderkey) then length(bin(max(o_orderkey) - min(o_orderkey))) else 0 end as o_orderkey_bits from orders group by o_custkey""")
+def hint_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least values and bits that a hint table needs."""
+    return P.extents(S.table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").withColumnRenamed("o_custkey", "doc")
+
+
+@query(f"with {_PIXELS_SQL} select image, count(*) filter (where v < 128) as ink from px group by image")
+def bilevel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JB1-JB5, K8: ink of rasters after a trip through the bilevel codec."""
+    from pagelume.operators import jbig2
+
+    def kernel(grey):
+        return {"ink": int(jbig2.decode(jbig2.embedded(grey < 128)).sum())}
+
+    return raster.over_rasters(rasters(spark, sf_dir), kernel, "ink bigint")
