@@ -226,8 +226,8 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]
         if kind == "CARD":
             c = card()
             return kind, rng.choice(("", "", "card ")), rng.choice((c, c, "-".join(c[i : i + 4] for i in range(0, 16, 4))))
-        value = rng.choice((of(hexes, 16, 48), of(hexes, 16, 48), of(caps + caps.lower(), 20, 40) + d(1)))
-        form = rng.choice(("key", "assign", "assign", "quoted", "quoted", "prefix"))
+        value = rng.choice((of(hexes, 16, 48), of(hexes, 16, 48), of(hexes, 8, 15), of(caps + caps.lower(), 20, 40) + d(1)))
+        form = rng.choice(("key", "assign", "assign", "quoted", "quoted", "prefix") if len(value) > 15 else ("assign", "quoted"))
         if form == "key":
             return kind, "", "AKIA" + of(caps, 16, 16)
         if form == "prefix":
@@ -239,12 +239,12 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]
 
     def harmless() -> str:
         return rng.choice(
-            (d(1, 3), str(rng.randint(1900, 2030)), d(5, 8), f"${d(1, 3)}.{d(2)}", f"{d(1, 2)}.{d(1, 3)}", f"{d(1)}.{d(1)}.{d(1, 2)}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"{of(caps, 2, 3)}-{d(3, 5)}", f"{letters(2, 6)}{d(1, 2)}", f"{d(1)}rd", f"{d(2)}%", f"{d(9, 11)}", f"@{letters(3, 9)}", f"{d(2)}/{d(2)}", f"{letters(3,7)}@", f"{300 + rng.randint(0, 600)}.{d(3)}.{d(3)}.{d(3)}")
+            (d(1, 3), str(rng.randint(1900, 2030)), d(5, 8), f"${d(1, 3)}.{d(2)}", f"{d(1, 2)}.{d(1, 3)}", f"{d(1)}.{d(1)}.{d(1, 2)}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"{of(caps, 2, 3)}-{d(3, 5)}", f"{letters(2, 6)}{d(1, 2)}", f"{d(1)}rd", f"{d(2)}%", f"{d(9, 11)}", f"@{letters(3, 9)}", f"{d(2)}/{d(2)}", f"{letters(3,7)}@", f"{300 + rng.randint(0, 600)}.{d(3)}.{d(3)}.{d(3)}", of(hexes, 8, 15))
         )
 
     out = []
     for _ in range(n):
-        text, spans, kept = "", [], []
+        text, spans, kept, plain = "", [], [], []
         for _ in range(rng.randint(10, 40)):
             r = rng.random()
             if r < 0.12:
@@ -258,8 +258,11 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]
                 label, value = rng.choice(kept)
                 spans.append((len(text), len(text) + len(value), label))
                 text += value
-            elif r < 0.3:
-                text += harmless()
+            elif r < 0.19 and plain:
+                text += rng.choice(plain)
+            elif r < 0.32:
+                plain.append(harmless())
+                text += plain[-1]
             else:
                 text += letters(1, 9)
             text += rng.choice((" ", " ", " ", " ", ", ", ". ", "\n"))
