@@ -7,6 +7,9 @@ import pyarrow as pa
 from pagelume.llm import packing
 from tests.llm.corpus import ODD, edited, frame, prose, random_rng, vocabulary
 
+#: A word as textkit defines it: everything beyond ASCII belongs to words.
+WORD = "[0-9a-z_\x80-\U0010ffff]+"
+
 
 def related(n_groups=40, seed=11):
     rng = random_rng(seed)
@@ -22,7 +25,7 @@ def related(n_groups=40, seed=11):
 def shingle_sets(rows):
     out = []
     for r in rows:
-        w = re.findall(r"\w+", (r[1] or "").lower())
+        w = re.findall(WORD, (r[1] or "").lower())
         out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
     return out
 
@@ -87,7 +90,7 @@ def check_windows(rows, got, window):
     """Every word of every row once, windows filled from the start without gaps."""
     count = Counter()
     for i, t, *_ in rows:
-        n = len(re.findall(r"\w+", (t or "").lower()))
+        n = len(re.findall(WORD, (t or "").lower()))
         if n:
             count[i] += n
     placed = Counter()
