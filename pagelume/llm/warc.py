@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelume.llm.storage import row_id, written
@@ -48,6 +48,8 @@ def store(records: DataFrame, record: str = "record") -> Archive:
     The header ends with the first blank line.  The trailer is the blank line
     that ends a record, if it is there.  A record without a header end, or an
     empty one, is all header with an empty payload; a null record has neither.
+    ``records`` is read twice and should be a scan of files, whose rows keep
+    their numbers.
     """
     others = [c for c in records.columns if c != record]
     raw = F.col(f"`{record}`")
@@ -70,8 +72,22 @@ def store(records: DataFrame, record: str = "record") -> Archive:
     digest = F.sha2("payload", 256)
     claim = F.regexp_extract(F.decode("header", "ISO-8859-1"), r"(?i)\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1)
     headers = parts.select("uid", "key", "header", "trailer", F.unhex(digest).alias("digest"), F.when(claim == "", None).otherwise(claim == digest).alias("verified"))
-    payloads = parts.filter("payload is not null").select(F.unhex(digest).alias("digest"), "payload").groupBy("digest").agg(F.first("payload").alias("payload"))
-    return Archive(written(headers, "warc-headers"), written(payloads, "warc-payloads"))
+    headers = written(headers, "warc-headers")
+    repeats = written(_repeats(headers), "warc-repeats")
+    payloads = parts.filter("payload is not null").join(repeats, "uid", "left_anti").select(F.unhex(digest).alias("digest"), "payload")
+    return Archive(headers, written(payloads, "warc-payloads"))
+
+
+def _repeats(headers: DataFrame) -> DataFrame:
+    """uid of every record whose payload an earlier record has.
+
+    Only digests are shuffled.  As the result is a table of numbers of a size
+    that is known, the join that leaves these records out broadcasts it if it
+    is small, and payloads cross the network only beyond that.
+    """
+    seen = headers.filter("digest is not null").select("uid", "digest")
+    first = F.min("uid").over(Window.partitionBy("digest"))
+    return seen.withColumn("first", first).filter("uid != first").select("uid")
 
 
 def rebuild(archive: Archive) -> DataFrame:
