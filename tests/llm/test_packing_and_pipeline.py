@@ -147,6 +147,50 @@ def test_large_blocks_are_cut(spark, monkeypatch):
     assert check_windows(rows, packing.pack(frame(spark, rows), window=200).collect(), 200) <= 1
 
 
+def chained(n_groups=60, each=5):
+    """Groups of documents with half of their words in common, chained by passages that each group shares with some others."""
+    rng = random_rng(31)
+    words = vocabulary(rng, 3000)
+    passages = [prose(rng, words, 50) for _ in range(n_groups)]
+    rows = []
+    for g in range(n_groups):
+        base = " ".join([prose(rng, words, 200), *rng.sample(passages, 4)])
+        for _ in range(each):
+            rows.append((len(rows), base + " " + prose(rng, words, 160), "en", "s"))
+    return rows, [i // each for i in range(len(rows))]
+
+
+def test_top_neighbours_stay_adjacent_in_a_block_far_above_the_bound(spark, monkeypatch):
+    rows, group = chained()
+    edges = packing.neighbours(sketches_of(spark, rows))
+    assert packing.components(edges).groupBy("root").count().agg({"count": "max"}).first()[0] > 150
+    monkeypatch.setattr(packing, "BLOCK_DOCUMENTS", 20)
+    got = sorted(packing.pack(frame(spark, rows), window=300).collect(), key=lambda r: (r.window_id, r["at"]))
+    order = list(dict.fromkeys(r.doc_id for r in got))
+    beside = [group[a] == group[b] for a, b in zip(order, order[1:])]
+    near = [any(beside[max(0, i - 1) : i + 1]) for i in range(len(order))]
+    assert np.mean(near) >= 0.95
+
+
+def test_units_contract_the_strongest_edges_in_rounds_and_in_order(spark, monkeypatch):
+    rows, group = chained()
+    edges = packing.neighbours(sketches_of(spark, rows)).cache()
+    sizes = spark.createDataFrame([(i, 1) for i in range(len(rows))], "node bigint, size bigint")
+    top = {}
+    for e in edges.collect():
+        top[e.a] = max(top.get(e.a, (0, 0)), (e.sim, -e.b))
+    for local in (10**6, 200, 0):
+        monkeypatch.setattr(packing, "LOCAL_EDGES", local)
+        unit = {r.node: r.unit for r in packing.units(sizes, edges, 20).collect()}
+        assert sorted(unit) == list(range(len(rows)))
+        assert max(Counter(unit.values()).values()) <= 20
+        assert np.mean([unit[a] == unit[-b] for a, (_, b) in top.items()]) >= 0.95
+    heavy = spark.createDataFrame([(1, 30), (2, 1), (3, 1)], "node bigint, size bigint")
+    pairs = spark.createDataFrame([(1, 2, 9), (2, 3, 4)], "a bigint, b bigint, sim int")
+    unit = {r.node: r.unit for r in packing.units(heavy, pairs, 20).collect()}
+    assert unit[2] == unit[3] != unit[1]
+
+
 def test_pack_empty(spark):
     assert packing.pack(frame(spark, [])).count() == 0
     assert packing.pack(frame(spark, [(1, None, None, None), (2, "", "en", "s")])).count() == 0
