@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagelume.operators.raster import otsu
 
@@ -99,3 +101,19 @@ def measure(grey: np.ndarray) -> dict:
 
 
 KINDS = "deg double, confidence double, ok boolean, points bigint, ink double, spread double, railed boolean, left double, right double"
+
+
+def ruled(degrees: float, lengths: np.ndarray, side: int = 192, pitch: int = 8, thick: int = 1, margin: int = 24) -> np.ndarray:
+    """A white page with ruled lines turned by an angle: an even left edge, right ends drawn in by ``lengths`` (0 to 255)."""
+    y, x = np.indices((side, side)) - (side - 1) / 2
+    a = np.radians(degrees)
+    u, v = x * np.cos(a) + y * np.sin(a), y * np.cos(a) - x * np.sin(a)
+    line = np.floor((v + side) / pitch).astype(int)
+    half = side / 2 - margin
+    ink = (np.abs(v) <= half) & (u >= -half) & (u <= half - lengths[line % len(lengths)] / 16) & ((v + side) % pitch < thick)
+    return np.where(ink, 0, 255).astype(np.uint8)
+
+
+def census(estimates: DataFrame) -> DataFrame:
+    """(pages, extracted, measured): all rows, those with a raster, and those whose estimate can be relied on."""
+    return estimates.agg(F.count("*").alias("pages"), F.count("points").alias("extracted"), F.coalesce(F.count_if("ok"), F.lit(0)).alias("measured"))

@@ -583,8 +583,19 @@ def downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def skew_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skew of rasters; those with too little ink have no estimate."""
-    return raster.over_rasters(rasters(spark, sf_dir), skew.measure, skew.KINDS)
+    """Skew of pages of ruled lines, each turned by an angle (``drawn``, -10 to 10 degrees) and as ragged as its 8 x 8 raster says."""
+
+    def kernel(grey):
+        drawn = (int(grey.sum()) % 81 - 40) / 4
+        return {"drawn": drawn} | skew.measure(skew.ruled(drawn, grey.ravel()))
+
+    return raster.over_rasters(rasters(spark, sf_dir), kernel, "drawn double, " + skew.KINDS)
+
+
+@query()
+def skew_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, those with a raster and those measured."""
+    return skew.census(skew_estimates(spark, sf_dir))
 
 
 # --- text functions -------------------------------------------------------

@@ -16,3 +16,23 @@ def test_query_runs(spark, name):
     df = queries.QUERIES[name](spark, DATA)
     assert len(df.columns) == len(set(df.columns))
     assert df.count() > 0
+
+
+def test_skew_estimates_find_the_drawn_angles(spark):
+    rows = queries.skew_estimates(spark, DATA).collect()
+    assert len({r.drawn for r in rows}) > 20
+    for r in rows:
+        # Under half a degree a line of 144 pixels rises by about one, and whole rows draw the estimate to the level.
+        assert r.ok and not r.railed and abs(r.deg - r.drawn) <= (0.4 if abs(r.drawn) > 0.5 else 0.65)
+        assert r.spread is not None and r.spread <= 1
+        assert abs(r.left + r.drawn) <= 2 and r.right is not None
+    total = queries.skew_totals(spark, DATA).first()
+    assert tuple(total) == (len(rows), len(rows), len(rows))
+
+
+def test_skew_census_tells_missing_and_unmeasured_rasters_apart(spark):
+    from pagelume.operators import skew
+
+    df = spark.createDataFrame([(None, None), (3, False), (900, True)], "points bigint, ok boolean")
+    assert tuple(skew.census(df).first()) == (3, 2, 1)
+    assert tuple(skew.census(df.limit(0)).first()) == (0, 0, 0)
