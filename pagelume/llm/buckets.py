@@ -1,4 +1,4 @@
-"""Rows brought together by key."""
+"""Rows brought together by key, a bounded number of them in memory."""
 
 from __future__ import annotations
 
@@ -8,25 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-
-def repeated(df: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` (number columns without nulls) whose ``key`` at least one other row has."""
-    kinds = df.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        k = table.column(key).to_numpy()
-        order = np.argsort(k, kind="stable")
-        same = k[order[1:]] == k[order[:-1]]
-        keep = np.zeros(len(k), bool)
-        keep[order[1:][same]] = True
-        keep[order[:-1][same]] = True
-        yield from table.filter(pa.array(keep)).to_batches(max_chunksize=1 << 16)
-
-    return df.repartition(key).mapInArrow(run, kinds)
+#: Rows that ``runs`` gives at once, if no key alone has more.
+RUN_ROWS = 1 << 18
 
 
 def spans(sorted_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,3 +18,51 @@ def spans(sorted_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begin = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
     return begin, np.append(begin[1:], len(sorted_key))
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = RUN_ROWS) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal keys, from batches sorted by ``key``."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(k, k[-1], "left"))
+        if held and n >= rows:
+            before = held[-1].column(key)[-1].as_py()
+            cut = int(np.searchsorted(k, before, "right"))
+            if cut < len(k):
+                yield pa.Table.from_batches([*held, batch.slice(0, last)])
+                held, n = [batch.slice(last)], batch.num_rows - last
+                continue
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key``, a number without nulls, at least one other row has; the last row is all that is kept in memory between batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None
+        shared = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            k = batch.column(key).to_numpy(zero_copy_only=False)
+            same = k[1:] == k[:-1]
+            keep = np.zeros(len(k), bool)
+            keep[1:] = same
+            keep[:-1] |= same
+            keep[0] |= shared
+            shared = bool(keep[-1])
+            last = batch.slice(len(k) - 1)
+            yield batch.slice(0, len(k) - 1).filter(pa.array(keep[:-1]))
+        if last is not None and shared:
+            yield last
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, df.schema)

@@ -11,14 +11,14 @@ themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from pagelume.llm.storage import row_id, whole_row, written
+from pagelume.llm.storage import kind_of, numbered, row_id, written
 from pagelume.llm.textkit import mix64
 
 #: Digests in a bucket, on average.
@@ -26,8 +26,6 @@ BUCKET_DIGESTS = 50_000
 #: Bits a level spends per digest that reaches it.
 GAMMA = 2.0
 
-BLOCK = "bucket int, size bigint, bits array<bigint>, levels binary, digests binary, doc_ids binary, doc_nulls binary, uids binary"
-
 
 def _hashes(digests: np.ndarray, level: int) -> np.ndarray:
     seed = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
@@ -75,15 +73,20 @@ def lookup(digests: np.ndarray, sizes: list[int], flat: np.ndarray) -> np.ndarra
 
 
 def _as_words(col: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, 4)
+    """Digests of 32 bytes as n x 4 numbers, straight from the buffer."""
+    a = col.cast(pa.binary()).combine_chunks()
+    a = pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a
+    if not len(a):
+        return np.zeros((0, 4), np.uint64)
+    return np.frombuffer(a.buffers()[2], np.uint64, 4 * len(a), np.frombuffer(a.buffers()[1], np.int32)[a.offset]).reshape(-1, 4)
 
 
 def _build_bucket(table: pa.Table) -> pa.Table:
     digests = _as_words(table.column("digest"))
     slot, sizes, flat = build(digests)
     order = np.argsort(slot)
-    ids = table.column("doc_id")
-    null = np.array(ids.is_null().to_pylist(), bool)[order]
+    ids = table.column("doc_id").take(pa.array(order)).combine_chunks()
+    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
     return pa.table(
         {
             "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()),
@@ -91,36 +94,42 @@ def _build_bucket(table: pa.Table) -> pa.Table:
             "bits": pa.array([sizes], pa.list_(pa.int64())),
             "levels": pa.array([np.packbits(flat).tobytes()]),
             "digests": pa.array([digests[order].tobytes()]),
-            "doc_ids": pa.array([ids.fill_null(0).to_numpy()[order].astype(np.int64).tobytes()]),
-            "doc_nulls": pa.array([np.packbits(null).tobytes()]),
+            "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
             "uids": pa.array([table.column("uid").to_numpy()[order].astype(np.int64).tobytes()]),
         }
     )
 
 
 def _lookup_bucket(new: pa.Table, index: pa.Table) -> pa.Table:
+    """Of each new digest the winner in its slot, if all bytes agree, else itself."""
     n = new.num_rows
-    ids, uids = new.column("doc_id").to_pylist(), new.column("uid").to_numpy().copy()
+    ids, uids = new.column("doc_id").combine_chunks(), new.column("uid").to_numpy().copy()
     member = np.zeros(n, bool)
     if n and index.num_rows:
-        row = index.slice(0, 1).to_pylist()[0]
-        digests, kept = _as_words(new.column("digest")), np.frombuffer(row["digests"], np.uint64).reshape(-1, 4)
-        flat = np.unpackbits(np.frombuffer(row["levels"], np.uint8))[: sum(row["bits"])].astype(bool)
-        slot = lookup(digests, row["bits"], flat)
+        row = index.slice(0, 1)
+        digests, kept = _as_words(new.column("digest")), np.frombuffer(row.column("digests")[0].as_py(), np.uint64).reshape(-1, 4)
+        sizes = row.column("bits")[0].as_py()
+        flat = np.unpackbits(np.frombuffer(row.column("levels")[0].as_py(), np.uint8))[: sum(sizes)].astype(bool)
+        slot = lookup(digests, sizes, flat)
         member = slot >= 0
         member[member] = (kept[slot[member]] == digests[member]).all(axis=1)
-        doc_ids, nulls = np.frombuffer(row["doc_ids"], np.int64), np.unpackbits(np.frombuffer(row["doc_nulls"], np.uint8))
-        for i in np.flatnonzero(member):
-            s = slot[i]
-            ids[i] = None if nulls[s] else int(doc_ids[s])
-        uids[member] = np.frombuffer(row["uids"], np.int64)[slot[member]]
-    return pa.table({"digest": new.column("digest").cast(pa.binary()), "winner_doc_id": pa.array(ids, pa.int64()), "winner_uid": pa.array(uids, pa.int64()), "in_history": pa.array(member)})
+        winners = row.column("doc_ids")[0].values.take(pa.array(np.where(member, slot, 0)))
+        ids = pc.if_else(pa.array(member), winners, ids)
+        uids[member] = np.frombuffer(row.column("uids")[0].as_py(), np.int64)[slot[member]]
+    return pa.table({"digest": new.column("digest").cast(pa.binary()), "winner_doc_id": ids, "winner_uid": pa.array(uids, pa.int64()), "in_history": pa.array(member)})
 
 
-def _digests(docs: DataFrame) -> DataFrame:
-    return written(
-        docs.select(row_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("digest")), "digests"
-    )
+def _order_key(df: DataFrame) -> Column:
+    """A number that never falls as doc_id grows: the id itself, or the first bytes of one that isn't a number."""
+    if isinstance(df.schema["doc_id"].dataType, NumericType):
+        return F.col("doc_id").cast("double")
+    head = F.rpad(F.hex(F.substring(F.col("doc_id").cast("string").cast("binary"), 1, 6)), 12, "0")
+    return F.conv(head, 16, 10).cast("double")
+
+
+def _digests(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(uid, doc_id, digest) of rows that have uid, doc_id and the text."""
+    return docs.select("uid", "doc_id", F.unhex(F.sha2(F.col(text).cast("string"), 256)).alias("digest"))
 
 
 def _first(rows: DataFrame, buckets: int) -> DataFrame:
@@ -132,23 +141,25 @@ def _first(rows: DataFrame, buckets: int) -> DataFrame:
 
 def build_index(rows: DataFrame, buckets: int) -> DataFrame:
     """One row per bucket of the distinct digests of ``rows`` (uid, doc_id, digest), written once."""
-    return written(_first(rows, buckets).groupBy("bucket").applyInArrow(_build_bucket, BLOCK), "mph")
+    block = f"bucket int, size bigint, bits array<bigint>, levels binary, digests binary, doc_ids array<{kind_of(rows, 'doc_id')}>, uids binary"
+    return written(_first(rows, buckets).groupBy("bucket").applyInArrow(_build_bucket, block), "mph")
 
 
-def winners(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
-    """(uid, doc_id, winner_uid, winner_doc_id) of every row; a row without text is its own winner."""
-    rows = _digests(docs)
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    edge = (low + (high - low) * history_share) if low is not None else 0
-    texts = rows.filter("digest is not null")
-    earlier = F.coalesce(F.col("doc_id") <= F.lit(float(edge)), F.lit(False))
+def winners(rows: DataFrame, history_share: float = 0.5) -> DataFrame:
+    """(uid, doc_id, winner_uid, winner_doc_id) of every row of a written table (uid, doc_id, digest); a row without digest is its own winner."""
+    keyed = rows.withColumn("at", _order_key(rows))
+    low, high, n = keyed.agg(F.min("at"), F.max("at"), F.count("*")).first()
+    edge = (low + (high - low) * history_share) if low is not None else 0.0
+    texts = keyed.filter("digest is not null")
+    earlier = F.coalesce(F.col("at") <= F.lit(float(edge)), F.lit(False))
     buckets = max(1, -(-n // BUCKET_DIGESTS))
     index = build_index(texts.filter(earlier), buckets)
     new = _first(texts.filter(~earlier), buckets)
-    found = new.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_lookup_bucket, "digest binary, winner_doc_id bigint, winner_uid bigint, in_history boolean")
+    kinds = f"digest binary, winner_doc_id {kind_of(rows, 'doc_id')}, winner_uid bigint, in_history boolean"
+    found = new.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_lookup_bucket, kinds)
     old = _first(texts.filter(earlier), buckets).select("digest", F.col("doc_id").alias("winner_doc_id"), F.col("uid").alias("winner_uid"))
-    of_old = texts.filter(earlier).join(old, "digest")
-    of_new = texts.filter(~earlier).join(found.drop("in_history"), "digest")
+    of_old = texts.filter(earlier).drop("at").join(old, "digest")
+    of_new = texts.filter(~earlier).drop("at").join(found.drop("in_history"), "digest")
     first = of_old.union(of_new)
     none = rows.filter("digest is null").select("digest", "uid", "doc_id", F.col("doc_id").alias("winner_doc_id"), F.col("uid").alias("winner_uid"))
     return first.union(none).select("uid", "doc_id", "winner_uid", "winner_doc_id")
@@ -157,19 +168,26 @@ def winners(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
 def exact_duplicates(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
     """(doc_id, winner_doc_id, keep) of every row of ``docs``.
 
-    Texts are equal if their bytes are.  The winner has the least doc_id; nulls
-    come last, then the order of rows, so of repeated rows one stays.  An empty
-    text is a text like any other; a null text equals nothing and stays.
-    ``history_share`` is the part of the doc_id range that counts as history;
-    any value gives the same result.
+    Texts are equal if their bytes are.  The winner has the least doc_id (of
+    any type that has an order); nulls come last, then the order of rows, so of
+    repeated rows one stays.  An empty text is a text like any other; a null
+    text equals nothing and stays.  ``history_share`` is the part of the doc_id
+    range that counts as history; any value gives the same result.
     """
-    return winners(docs, history_share).select("doc_id", "winner_doc_id", (F.col("uid") == F.col("winner_uid")).alias("keep"))
+    rows = written(_digests(docs.select(row_id().alias("uid"), "doc_id", "text")), "digests")
+    return winners(rows, history_share).select("doc_id", "winner_doc_id", (F.col("uid") == F.col("winner_uid")).alias("keep"))
 
 
 def drop_exact_duplicates(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
-    """``docs`` with one row per distinct text, all columns as they were."""
-    gone = winners(docs, history_share).filter("uid != winner_uid").select("uid")
-    return docs.select(whole_row(docs).alias("r"), row_id().alias("uid")).join(gone, "uid", "left_anti").select("r.*")
+    """``docs`` with one row per distinct text, all columns as they were.
+
+    The rows are written once with their numbers, so what is decided of a
+    number is decided of the same row however the table is split later.
+    """
+    rows = numbered(docs)
+    digests = written(_digests(rows.select("uid", "r.doc_id", "r.text")), "digests")
+    gone = written(winners(digests, history_share).filter("uid != winner_uid").select("uid"), "gone")
+    return rows.join(gone, "uid", "left_anti").select("r.*")
 
 
 def duplicates_sql(table: str = "documents") -> str:

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelume.llm import textkit
+from pagelume.llm.buckets import runs
 from pagelume.llm.graph import components
-from pagelume.llm.storage import row_id, whole_row, written
+from pagelume.llm.storage import dropped, kind_of, numbered, row_id, written
 
 SEGMENTS = 4
 SEGMENT_BITS = 23
@@ -33,10 +34,12 @@ CHECK_BITS = 128
 SHINGLE = 3
 #: Most check bits in which near duplicates differ.
 MAX_DISTANCE = 34
-#: Shorter documents are near duplicates only of those with the same words.
+#: Shorter documents have too few shingles for fingerprints and are compared word by word.
 MIN_WORDS = 16
-#: Languages whose mean is kept; the rest share one.
-MAX_LANGUAGES = 512
+#: From so many words on, short documents match others with one word left out or changed; shorter ones only the same words.
+VARIANT_WORDS = 10
+#: Languages of the most words whose means are kept apart; all others have one mean together.
+LANGUAGES = 512
 
 _GENERATOR = 0b101011100011
 
@@ -95,17 +98,50 @@ def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def language_means(docs: DataFrame) -> np.ndarray:
-    """Mean search vote per word of each language, over all documents; a fixed number of rows."""
+def language_means(docs: DataFrame, languages: int = LANGUAGES) -> np.ndarray:
+    """Mean search vote per word over all documents: a row for each of ``languages`` languages and one for all others together."""
     part = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(_language_sums, "lang string, s array<bigint>")
-    sums = part.groupBy("lang").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(SEARCH_BITS + 1)])
-    rows = sums.filter(f"s{SEARCH_BITS} > 0").orderBy(F.desc(f"s{SEARCH_BITS}"), "lang").limit(MAX_LANGUAGES).collect()
-    if not rows:
+    names = [f"s{i}" for i in range(SEARCH_BITS + 1)]
+    sums = written(part.groupBy("lang").agg(*[F.sum(F.col("s")[i]).alias(c) for i, c in enumerate(names)]), "language-sums")
+    most = sums.filter(f"s{SEARCH_BITS} > 0").orderBy(F.desc(f"s{SEARCH_BITS}"), "lang").limit(languages).collect()
+    every = sums.agg(*[F.sum(c).alias(c) for c in names]).first()
+    dropped(sums)
+    if not most:
         return np.zeros((1, SEARCH_BITS))
-    a = np.array([list(r)[1:] for r in rows], float)
+    own = np.array([list(r)[1:] for r in most], float)
+    rest = np.array(list(every), float) - own.sum(axis=0)
+    a = np.vstack([own, rest]) if rest[-1] > 0 else own
     return a[:, :-1] / a[:, -1:]
 
 
+_FOLDS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25))
+
+
+def variants(h: np.ndarray, off: np.ndarray) -> tuple[list, list]:
+    """Two hashes of each row's word list, and of it with one word left out, for rows of VARIANT_WORDS to MIN_WORDS words; None for others.
+
+    Two lists share a hash of both kinds if they are equal, one has a word more
+    than the other, or one word differs.
+    """
+    n = np.diff(off)
+    out: tuple[list, list] = ([None] * len(n), [None] * len(n))
+    rows = np.flatnonzero((n >= VARIANT_WORDS) & (n <= MIN_WORDS))
+    if not len(rows):
+        return out
+    inside = np.arange(MIN_WORDS) < n[rows, None]
+    word = h[np.minimum(off[rows][:, None] + np.arange(MIN_WORDS), len(h) - 1)]
+    left_out = np.arange(MIN_WORDS + 1)  # the last leaves out none
+    valid = (left_out < n[rows, None]) | (left_out == MIN_WORDS)
+    for column, fold in zip(out, _FOLDS):
+        acc = np.zeros(valid.shape, np.uint64)
+        for i in range(MIN_WORDS):
+            acc = np.where(inside[:, i : i + 1] & (left_out != i), acc * fold + word[:, i : i + 1], acc)
+        acc = textkit.mix64(acc).view(np.int64)
+        for k, r in enumerate(rows):
+            column[r] = acc[k, valid[k]]
+    return out
+
+
 def fingerprint(col: pa.Array, means: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segments n x 4 int64, check bits n x 2 int64, words per row)."""
     norm = np.linalg.norm(means, axis=1)
@@ -135,25 +171,24 @@ def fingerprint(col: pa.Array, means: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(seg), np.concatenate(chk), np.concatenate(cnt)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, s0..s3, c0, c1) of every document that has words; written once."""
-    means = language_means(docs)
+def fingerprints(rows: DataFrame, means: np.ndarray) -> DataFrame:
+    """(uid, doc_id, s0..s3, c0, c1, v, w) of every row (uid, doc_id, text), written once; without words the numbers are null, v and w without variants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s, c, n = fingerprint(batch.column("text"), means)
-            m = n > 0
-            keep = pa.array(m)
+            none = n == 0
+            short: tuple[list, list] = ([], [])
+            for _, h, off, _ in textkit.words(batch.column("text")):
+                for x, y in zip(short, variants(h, off)):
+                    x += y
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid").filter(keep), batch.column("doc_id").filter(keep)]
-                + [pa.array(s[m, i]) for i in range(SEGMENTS)]
-                + [pa.array(c[m, i]) for i in range(2)],
-                names=["uid", "doc_id", *(f"s{i}" for i in range(SEGMENTS)), "c0", "c1"],
+                [batch.column("uid"), batch.column("doc_id")] + [pa.array(x, mask=none) for x in (*s.T, *c.T)] + [pa.array(x, pa.list_(pa.int64())) for x in short],
+                names=["uid", "doc_id", *(f"s{i}" for i in range(SEGMENTS)), "c0", "c1", "v", "w"],
             )
 
-    rows = docs.select(row_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"{c} bigint" for c in ("uid", "doc_id", "s0", "s1", "s2", "s3", "c0", "c1"))
-    return written(rows.mapInArrow(run, kinds), "fingerprints")
+    kinds = f"uid bigint, doc_id {kind_of(rows, 'doc_id')}, " + ", ".join(f"{c} bigint" for c in ("s0", "s1", "s2", "s3", "c0", "c1")) + ", v array<bigint>, w array<bigint>"
+    return written(rows.select("uid", "doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, kinds), "fingerprints")
 
 
 # --- search and verification ----------------------------------------------
@@ -299,60 +334,69 @@ def link(key: np.ndarray, node: np.ndarray, check: np.ndarray, row: np.ndarray,
 
 
 def near_edges(fp: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Edges (a, b) over classes of equal check bits; a class is named by its least uid."""
-    classes = fp.groupBy("c0", "c1").agg(F.min(F.struct("uid", "s0", "s1", "s2", "s3")).alias("x"))
+    """Edges (a, b) over classes of equal check bits; a class is named by its least uid.
+
+    Classes of short texts are linked to the least of those that share a
+    variant, all others by their fuzzy keys.
+    """
+    classes = fp.groupBy("c0", "c1").agg(F.min(F.struct("uid", "s0", "s1", "s2", "s3", "v", "w")).alias("x"))
+    listed = classes.filter("x.v is not null").select(F.col("x.uid").alias("a"), F.inline(F.arrays_zip("x.v", "x.w")))
+    listed = written(listed.toDF("a", "v", "w"), "variants")
+    meet = listed.groupBy("v", "w").agg(F.min("a").alias("b"), F.max("a").alias("most")).filter("b < most").drop("most")
+    short = listed.join(meet, ["v", "w"]).filter("a != b").select("a", "b")
     nodes = classes.select(F.col("x.uid").alias("node"), *[f"x.s{i}" for i in range(SEGMENTS)], "c0", "c1")
     keys = nodes.mapInArrow(_keys, "k int, node bigint, c0 bigint, c1 bigint, low bigint, high bigint")
     parts = int(fp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        k, node, c0, c1, low, high = (x.to_numpy() for x in pa.Table.from_batches(got).columns)
-        key, row = _unpacked(k, low, high)
-        a, b = link(key, node, np.stack([c0, c1], axis=1), row, max_distance)
-        yield pa.RecordBatch.from_pydict({"a": a, "b": b})
-
-    return keys.repartition(2 * parts, "k").mapInArrow(run, "a bigint, b bigint")
-
+        for table in runs(batches, "k"):
+            k, node, c0, c1, low, high = (x.to_numpy() for x in table.columns)
+            key, row = _unpacked(k, low, high)
+            a, b = link(key, node, np.stack([c0, c1], axis=1), row, max_distance)
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
-def near_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(uid, doc_id, keeper_uid, keeper_doc_id) of every document that has words."""
-    fp = fingerprints(docs)
-    roots = components(near_edges(fp, max_distance))
-    ids = fp.select("uid", "doc_id", F.min("uid").over(_by("c0", "c1")).alias("node"))
-    labelled = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).over(_by("root"))
-    return labelled.withColumn("k", first).select("uid", "doc_id", F.col("k.uid").alias("keeper_uid"), F.col("k.doc_id").alias("keeper_doc_id"))
+    return keys.repartition(2 * parts, "k").sortWithinPartitions("k").mapInArrow(run, "a bigint, b bigint").union(short)
 
 
-def _by(*cols: str):
-    from pyspark.sql import Window
+def near_groups(fp: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(uid, doc_id, keeper_uid, keeper_doc_id) of every row of a table of ``fingerprints``.
 
-    return Window.partitionBy(*cols)
+    Classes of equal check bits and groups are reduced by partial aggregation
+    and joined back, so copies of one text never meet in one task.
+    """
+    texts = fp.filter("c0 is not null")
+    roots = components(near_edges(texts, max_distance))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("first")
+    classes = texts.groupBy("c0", "c1").agg(F.min("uid").alias("node"), least)
+    classes = written(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
+    keepers = classes.groupBy("root").agg(F.min("first").alias("k"))
+    named = classes.join(keepers, "root").select("c0", "c1", F.col("k.uid").alias("keeper_uid"), F.col("k.doc_id").alias("keeper_doc_id"))
+    labelled = texts.select("uid", "doc_id", "c0", "c1").join(written(named, "keepers"), ["c0", "c1"]).drop("c0", "c1")
+    alone = fp.filter("c0 is null").select("uid", "doc_id", F.col("uid").alias("keeper_uid"), F.col("doc_id").alias("keeper_doc_id"))
+    return labelled.union(alone)
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, keeper_doc_id, keep): every row of ``docs``, with the document that stands for its group.
 
-    Groups are the connected components of verified pairs; the least doc_id
-    stays (nulls come last, then the order of rows), so of repeated rows one
-    stays.  Rows without words (null, empty, only punctuation) are compared
-    with nothing and stay.  Texts of under MIN_WORDS words match only the same
-    words.  Whole texts count, whatever their length.
+    Groups are the connected components of verified pairs; the least doc_id (of
+    any type that has an order) stays, nulls come last, then the order of rows,
+    so of repeated rows one stays.  Rows without words (null, empty, only
+    punctuation) are compared with nothing and stay.  Texts of under MIN_WORDS
+    words match those with the same words but for one left out or changed.
+    Whole texts count, whatever their length.
     """
-    groups = near_groups(docs, max_distance)
-    rows = docs.select(row_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    both = rows.alias("r").join(groups.select("uid", "keeper_uid", "keeper_doc_id").alias("g"), "uid", "left")
-    return both.select(
-        "doc_id",
-        F.when(F.col("keeper_uid").isNull(), F.col("doc_id")).otherwise(F.col("keeper_doc_id")).alias("keeper_doc_id"),
-        F.coalesce(F.col("keeper_uid") == F.col("uid"), F.lit(True)).alias("keep"),
-    )
+    rows = docs.select(row_id().alias("uid"), "doc_id", "text")
+    groups = near_groups(fingerprints(rows, language_means(docs)), max_distance)
+    return groups.select("doc_id", "keeper_doc_id", (F.col("keeper_uid") == F.col("uid")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, all columns as they were."""
-    gone = near_groups(docs, max_distance).filter("keeper_uid != uid").select("uid")
-    return docs.select(whole_row(docs).alias("r"), row_id().alias("uid")).join(gone, "uid", "left_anti").select("r.*")
+    """``docs`` with one document of each near-duplicate group, all columns as they were.
+
+    The rows are written once with their numbers and read from there ever after.
+    """
+    rows = numbered(docs)
+    fp = fingerprints(rows.select("uid", "r.doc_id", "r.text"), language_means(rows.select("r.lang", "r.text")))
+    gone = written(near_groups(fp, max_distance).filter("keeper_uid != uid").select("uid"), "gone")
+    return rows.join(gone, "uid", "left_anti").select("r.*")

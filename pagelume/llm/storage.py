@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 _local: dict[str, str] = {}
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,26 +34,57 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    base = shared_dir(spark)
     for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        if folder.split(":", 1)[-1].lstrip("/").startswith(base.split(":", 1)[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        made = next((t for t in _tables if f"/{t.rsplit('/', 1)[1]}/" in file), None)
+        if made:
+            _tables.remove(made)
+            _delete(df.sparkSession, made)
+
+
+def so_far() -> int:
+    """A mark for ``cleared``."""
+    return len(_tables)
+
+
+def cleared(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the tables made since ``mark`` but for those that ``keep`` reads; their readers must have run."""
+    needed = " ".join(f for df in keep for f in df.inputFiles())
+    for path in _tables[mark:]:
+        if f"/{path.rsplit('/', 1)[1]}/" not in needed:
+            _tables.remove(path)
+            _delete(spark, path)
+
+
+def numbered(df: DataFrame, name: str = "rows") -> DataFrame:
+    """(uid, r): each row of ``df`` as one struct with a number of its own, written once.
+
+    Numbers follow partitions, which depend on executors and settings; only a
+    written table gives every later reader the same number for the same row.
+    """
+    return written(df.select(F.monotonically_increasing_id().alias("uid"), whole_row(df).alias("r")), name)
 
 
 def row_id() -> Column:
-    """A number for each row of a table, the same whenever the same files are scanned."""
+    """A number for each row, for a table that is written at once and read for this number alone from then on."""
     return F.monotonically_increasing_id()
 
 
+def kind_of(df: DataFrame, column: str) -> str:
+    """The type of a column, as Spark SQL."""
+    return df.schema[column].dataType.simpleString()
+
+
 def whole_row(docs: DataFrame) -> Column:
     """All columns as one struct, so that no column of the input can clash with one of ours."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
