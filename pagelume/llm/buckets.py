@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
 #: Rows that ``runs`` gives at once, if no key alone has more.
 RUN_ROWS = 1 << 18
@@ -40,29 +39,3 @@ def runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = RUN_ROWS) -> I
         n += batch.num_rows
     if held:
         yield pa.Table.from_batches(held)
-
-
-def repeated(df: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key``, a number without nulls, at least one other row has; the last row is all that is kept in memory between batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None
-        shared = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if last is not None:
-                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            k = batch.column(key).to_numpy(zero_copy_only=False)
-            same = k[1:] == k[:-1]
-            keep = np.zeros(len(k), bool)
-            keep[1:] = same
-            keep[:-1] |= same
-            keep[0] |= shared
-            shared = bool(keep[-1])
-            last = batch.slice(len(k) - 1)
-            yield batch.slice(0, len(k) - 1).filter(pa.array(keep[:-1]))
-        if last is not None and shared:
-            yield last
-
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, df.schema)

@@ -17,19 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelume.llm import textkit
-from pagelume.llm.buckets import repeated
-from pagelume.llm.storage import row_id, written
+from pagelume.llm.storage import dropped, row_id, written
 
 #: Words of the shortest passage that is marked.
 MIN_WORDS = 50
 #: Words of a minimizer.
 GRAM = 8
-#: Stretches in a shard, on average.
+#: Distinct stretches in a shard, at most on average.
 SHARD_PIECES = 10_000
+#: Occurrences from which a minimizer's windows are counted by their hashes instead of meeting in a shard.
+HOT_OCCURRENCES = 50_000
 
 
 # --- minimizers -----------------------------------------------------------
@@ -71,8 +73,28 @@ def _anchors(length: int):
     return run
 
 
-def _pieces(length: int, shards: int):
-    """Stretches around the repeated minimizers of each document, joined where they overlap within a shard."""
+PIECES = pa.schema([("shard", pa.int32()), ("uid", pa.int64()), ("start", pa.int64()), ("p", pa.int64()), ("q", pa.int64()), ("words", pa.binary())])
+
+
+def windows_around(words: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, two hashes) of all windows of ``length`` words that hold one of the minimizers at ``pos``."""
+    n = len(words) - length + 1
+    starts = np.unique((pos[:, None] - np.arange(length - GRAM + 1)).ravel())
+    starts = starts[(starts >= 0) & (starts < n)]
+    out = []
+    for fold in (np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)):
+        acc = np.zeros(max(n, 0), np.uint64)
+        for i in range(length):
+            acc = acc * fold + words[i : i + len(acc)]
+        out.append(textkit.mix64(acc[starts]).view(np.int64))
+    return starts, out[0], out[1]
+
+
+def _pieces(length: int):
+    """Stretches around the repeated minimizers of each document, joined where they overlap within a shard, with two hashes of their words.
+
+    Minimizers of shard -1 give a row for each window around them instead, without words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,24 +105,38 @@ def _pieces(length: int, shards: int):
             aoff = aoff - aoff[0]
             for row, h, off, _ in textkit.words(batch.column("text")):
                 w = (h >> np.uint64(32)).astype(np.uint32)
-                out: dict = {"shard": [], "uid": [], "start": [], "words": []}
+                out: dict = {k: [] for k in PIECES.names}
                 for r in range(len(off) - 1):
                     a = slice(aoff[row + r], aoff[row + r + 1])
                     if a.start == a.stop:
                         continue
-                    order = np.lexsort((pos[a], shard[a]))
-                    sh, p = shard[a][order], pos[a][order]
+                    hot = shard[a] < 0
+                    if hot.any():
+                        at, x, y = windows_around(h[off[r] : off[r + 1]], pos[a][hot], length)
+                        out["shard"] += [-1] * len(at)
+                        out["uid"] += [int(uid[row + r])] * len(at)
+                        for k, v in (("start", at), ("p", x), ("q", y)):
+                            out[k] += v.tolist()
+                        out["words"] += [None] * len(at)
+                    order = np.lexsort((pos[a][~hot], shard[a][~hot]))
+                    sh, p = shard[a][~hot][order], pos[a][~hot][order]
+                    if not len(p):
+                        continue
                     lo, hi = np.maximum(p - (length - GRAM), 0), np.minimum(p + length, off[r + 1] - off[r])
                     new = np.ones(len(p), bool)
                     new[1:] = (sh[1:] != sh[:-1]) | (lo[1:] > hi[:-1])
                     first = np.flatnonzero(new)
                     last = np.append(first[1:], len(p)) - 1
                     for f, e in zip(first, last):
+                        raw = w[off[r] + lo[f] : off[r] + hi[e]].tobytes()
+                        digest = xxhash.xxh3_128_intdigest(raw)
                         out["shard"].append(int(sh[f]))
                         out["uid"].append(int(uid[row + r]))
                         out["start"].append(int(lo[f]))
-                        out["words"].append(w[off[r] + lo[f] : off[r] + hi[e]].tobytes())
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard", pa.int32()), ("uid", pa.int64()), ("start", pa.int64()), ("words", pa.binary())]))
+                        out["p"].append((digest >> 64) - (1 << 63))
+                        out["q"].append((digest & (1 << 64) - 1) - (1 << 63))
+                        out["words"].append(raw)
+                yield pa.RecordBatch.from_pydict(out, schema=PIECES)
 
     return run
 
@@ -193,25 +229,24 @@ def repeats(texts: list[np.ndarray], length: int) -> list[np.ndarray]:
 
 
 def _mark_shard(length: int):
+    """(shard, p, q, s, e): what is marked in each distinct piece of a shard; ``copies`` says how often it occurs."""
+
     def run(table: pa.Table) -> pa.Table:
-        raw, uid, start = table.column("words").to_pylist(), table.column("uid").to_pylist(), table.column("start").to_pylist()
-        number: dict[bytes, int] = {}
-        of = [number.setdefault(x, len(number)) for x in raw]
-        count = np.bincount(of, minlength=len(number))
-        texts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in number]
-        spans = []
-        for t, c, m in zip(texts, count, repeats(texts, length)):
+        texts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("words").to_pylist()]
+        copies = table.column("copies").to_numpy()
+        begins, ends, of = [], [], []
+        for i, (t, c, m) in enumerate(zip(texts, copies, repeats(texts, length))):
             if c > 1 and len(t) >= length:
                 m = np.ones(len(t), bool)
             edge = np.diff(np.concatenate([[0], m.view(np.int8), [0]]))
-            spans.append((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))
-        out: dict = {"uid": [], "s": [], "e": []}
-        for x, u, b in zip(of, uid, start):
-            for s, e in zip(*spans[x]):
-                out["uid"].append(u)
-                out["s"].append(b + int(s))
-                out["e"].append(b + int(e))
-        return pa.table(out, schema=pa.schema([("uid", pa.int64()), ("s", pa.int64()), ("e", pa.int64())]))
+            begins.append(np.flatnonzero(edge == 1))
+            ends.append(np.flatnonzero(edge == -1))
+            of.append(np.full(len(begins[-1]), i))
+        row = pa.array(np.concatenate(of) if of else np.zeros(0, np.int64))
+        marked = {k: table.column(k).take(row) for k in ("shard", "p", "q")}
+        for k, v in (("s", begins), ("e", ends)):
+            marked[k] = pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))
+        return pa.table(marked)
 
     return run
 
@@ -224,18 +259,31 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     and copies therefore mark each other.  Words are compared in lower case,
     without what separates them.  Rows of fewer words (null, empty) have no
     stretches; texts are read whole.  The end is exclusive.
+
+    The rows are written once with their numbers.  Equal pieces are counted
+    before they meet, so a shard gets each distinct piece once, whatever the
+    number of its copies.  The occurrences of a minimizer of more than
+    HOT_OCCURRENCES never meet: all windows around them are counted by a hash
+    of 128 bits, which marks the same words.
     """
-    base = docs.select(row_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    anchors = base.select("uid", "text").mapInArrow(_anchors(min_words), "g bigint, uid bigint, pos bigint")
-    twice = written(repeated(anchors, "g"), "anchors")
-    shards = max(1, -(-twice.count() // SHARD_PIECES))
-    shard = F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int").alias("shard")
-    per = twice.groupBy("uid").agg(F.collect_list(F.struct(shard, "pos")).alias("anchors"))
-    kinds = "shard int, uid bigint, start bigint, words binary"
-    pieces = base.select("uid", "text").join(per, "uid").mapInArrow(_pieces(min_words, shards), kinds)
-    marks = pieces.groupBy("shard").applyInArrow(_mark_shard(min_words), "uid bigint, s bigint, e bigint")
+    base = written(docs.select(row_id().alias("uid"), "doc_id", F.col("text").cast("string").alias("text")), "rows")
+    anchors = written(base.select("uid", "text").mapInArrow(_anchors(min_words), "g bigint, uid bigint, pos bigint"), "anchors")
+    often = written(anchors.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-minimizers")
+    total = often.agg(F.sum(F.when(F.col("n") <= HOT_OCCURRENCES, F.col("n")))).first()[0] or 0
+    shards = max(1, -(-total // SHARD_PIECES))
+    shard = F.when(F.col("n") > HOT_OCCURRENCES, -1).otherwise(F.pmod(F.xxhash64("g"), F.lit(shards))).cast("int").alias("shard")
+    per = anchors.join(often, "g").groupBy("uid").agg(F.collect_list(F.struct(shard, "pos")).alias("anchors"))
+    kinds = "shard int, uid bigint, start bigint, p bigint, q bigint, words binary"
+    pieces = written(base.select("uid", "text").join(per, "uid").mapInArrow(_pieces(min_words), kinds), "pieces")
+    dropped(anchors)
+    distinct = pieces.filter("shard >= 0").groupBy("shard", "p", "q").agg(F.count("*").alias("copies"), F.first("words").alias("words"))
+    marks = written(distinct.groupBy("shard").applyInArrow(_mark_shard(min_words), "shard int, p bigint, q bigint, s bigint, e bigint"), "marks")
+    placed = pieces.filter("shard >= 0").drop("words").join(marks, ["shard", "p", "q"]).select("uid", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
+    hot = pieces.filter("shard < 0").select("uid", "start", "p", "q")
+    twice = hot.groupBy("p", "q").count().filter("count > 1")
+    placed = placed.union(hot.join(twice, ["p", "q"]).select("uid", "start", F.col("start") + min_words))
     order = Window.partitionBy("uid").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = marks.withColumn("new", F.coalesce((F.col("s") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = placed.withColumn("new", F.coalesce((F.col("s") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("uid", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"))
     return base.select("uid", "doc_id").join(merged, "uid").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelume.llm.storage import row_id, written
+from pagelume.llm.storage import dropped, row_id, written
 
 _END = "\r\n\r\n"
 
@@ -42,52 +42,69 @@ def page_record() -> Column:
     return F.concat(header.cast("binary"), html, F.lit(_END).cast("binary"))
 
 
+#: Bytes of a record in which its header end is looked for first; only records without one there are searched whole.
+HEAD_BYTES = 1 << 16
+
+
+def _header_end(raw: Column) -> Column:
+    """Place of the first blank line of each record, 0 without one."""
+    near = F.locate(_END, F.decode(F.substring(raw, 1, HEAD_BYTES), "ISO-8859-1"))
+    return F.when((near > 0) | (F.octet_length(raw) <= HEAD_BYTES), near).otherwise(F.locate(_END, F.decode(raw, "ISO-8859-1")))
+
+
 def store(records: DataFrame, record: str = "record") -> Archive:
     """Write the two tables of an archive of ``records``; its other columns go with the headers.
 
-    The header ends with the first blank line.  The trailer is the blank line
-    that ends a record, if it is there.  A record without a header end, or an
-    empty one, is all header with an empty payload; a null record has neither.
-    ``records`` is read twice and should be a scan of files, whose rows keep
-    their numbers.
+    The header ends with the first blank line.  The payload has as many bytes
+    as Content-Length says, or all there are if they are fewer, and the trailer
+    is whatever follows it; without a usable Content-Length the trailer is the
+    blank line that ends the record, if it is there.  A record without a header
+    end, or an empty one, is all header with an empty payload; a null record
+    has neither.  The records are cut and numbered once, in a table that is
+    deleted when both tables of the archive are made; of records with equal
+    payloads the first in it gives the bytes.
     """
     others = [c for c in records.columns if c != record]
     raw = F.col(f"`{record}`")
-    cut = records.select(row_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("key"), raw.alias("raw"), F.locate(_END, F.decode(raw, "ISO-8859-1")).alias("at"))
+    cut = records.select(row_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("key"), raw.alias("raw"), _header_end(raw).alias("at"))
     size = F.octet_length("raw")
-    split = cut.select(
-        "uid",
-        "key",
-        "raw",
-        F.when(F.col("at") == 0, size).otherwise(F.col("at") + 3).alias("head"),
-        F.when((F.col("at") > 0) & (size >= F.col("at") + 7) & (F.substring("raw", -4, 4) == F.lit(_END).cast("binary")), 4).otherwise(0).alias("tail"),
-    )
-    parts = split.select(
+    split = cut.select("uid", "key", "raw", F.when(F.col("at") == 0, size).otherwise(F.col("at") + 3).alias("head"))
+    headed = split.select("uid", "key", "raw", "head", F.expr("substring(raw, 1, head)").alias("header"))
+    text = F.decode("header", "ISO-8859-1")
+    length = F.regexp_extract(text, r"(?i)\r\nContent-Length:[ \t]*(\d{1,18})[ \t]*\r\n", 1)
+    left = size - F.col("head")
+    closed = F.when((left >= 4) & (F.substring("raw", -4, 4) == F.lit(_END).cast("binary")), left - 4).otherwise(left)
+    body = F.when(length == "", closed).otherwise(F.least(F.when(length != "", length).cast("bigint"), left.cast("bigint"))).cast("int")
+    claim = F.regexp_extract(text, r"(?i)\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1)
+    sized = headed.select("uid", "key", "raw", "head", "header", body.alias("body"), claim.alias("claim"))
+    parts = sized.select(
         "uid",
         "key",
-        F.expr("substring(raw, 1, head)").alias("header"),
-        F.expr("substring(raw, octet_length(raw) - tail + 1, tail)").alias("trailer"),
-        F.expr("substring(raw, head + 1, octet_length(raw) - head - tail)").alias("payload"),
+        "header",
+        F.expr("substring(raw, head + body + 1, octet_length(raw))").alias("trailer"),
+        F.expr("substring(raw, head + 1, body)").alias("payload"),
+        "claim",
     )
     digest = F.sha2("payload", 256)
-    claim = F.regexp_extract(F.decode("header", "ISO-8859-1"), r"(?i)\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1)
-    headers = parts.select("uid", "key", "header", "trailer", F.unhex(digest).alias("digest"), F.when(claim == "", None).otherwise(claim == digest).alias("verified"))
-    headers = written(headers, "warc-headers")
+    parts = written(parts.withColumn("digest", F.unhex(digest)).withColumn("verified", F.when(F.col("claim") == "", None).otherwise(F.col("claim") == digest)).drop("claim"), "warc-parts")
+    headers = written(parts.drop("payload"), "warc-headers")
     repeats = written(_repeats(headers), "warc-repeats")
-    payloads = parts.filter("payload is not null").join(repeats, "uid", "left_anti").select(F.unhex(digest).alias("digest"), "payload")
-    return Archive(headers, written(payloads, "warc-payloads"))
+    payloads = written(parts.filter("payload is not null").join(repeats, "uid", "left_anti").select("digest", "payload"), "warc-payloads")
+    dropped(parts)
+    dropped(repeats)
+    return Archive(headers, payloads)
 
 
 def _repeats(headers: DataFrame) -> DataFrame:
     """uid of every record whose payload an earlier record has.
 
-    Only digests are shuffled.  As the result is a table of numbers of a size
-    that is known, the join that leaves these records out broadcasts it if it
-    is small, and payloads cross the network only beyond that.
+    Only digests are shuffled, reduced before that, and the numbers are joined
+    by number, so no digest is hot.  As the result is a table of a size that is
+    known, the join that leaves these records out broadcasts it if it is small,
+    and payloads cross the network only beyond that.
     """
-    seen = headers.filter("digest is not null").select("uid", "digest")
-    first = F.min("uid").over(Window.partitionBy("digest"))
-    return seen.withColumn("first", first).filter("uid != first").select("uid")
+    seen = headers.filter("digest is not null")
+    return seen.select("uid").join(seen.groupBy("digest").agg(F.min("uid").alias("uid")).select("uid"), "uid", "left_anti")
 
 
 def rebuild(archive: Archive) -> DataFrame:

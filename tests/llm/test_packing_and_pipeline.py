@@ -35,6 +35,21 @@ def sketches_of(spark, rows):
     return spark.createDataFrame([(i, r[0], int(n[i]), s[i].tobytes()) for i, r in enumerate(rows) if n[i]], "uid bigint, doc_id bigint, n bigint, sketch binary")
 
 
+def classes_of(spark, rows):
+    return packing.classes_of(sketches_of(spark, rows))
+
+
+def of_rows(rows, edges):
+    """Edges between classes as edges between rows: members of one class are neighbours, and all have the partners of their class."""
+    s, _ = packing.sketch(pa.array([r[1] for r in rows], pa.string()))
+    members = defaultdict(list)
+    for i, x in enumerate(s):
+        members[x.tobytes()].append(i)
+    of = {ids[0]: ids for ids in members.values()}
+    inner = [(a, b, packing.COMPONENTS) for ids in of.values() for a in ids for b in ids if a != b]
+    return inner + [(i, b, sim) for a, b, sim in edges for i in of[a]]
+
+
 def recall(rows, edges, k):
     """Share of each row's k best partners by true overlap that the graph has, counting ties as equal."""
     sets = shingle_sets(rows)
@@ -54,29 +69,35 @@ def recall(rows, edges, k):
 
 def test_neighbours_recall_against_brute_force(spark):
     rows = related()
-    edges = [tuple(r) for r in packing.neighbours(sketches_of(spark, rows), 4).collect()]
+    edges = [tuple(r) for r in packing.neighbours(classes_of(spark, rows), 4).collect()]
     assert recall(rows, edges, 4) >= 0.9
     assert max(Counter(a for a, _, _ in edges).values()) <= 4
 
 
-def test_large_buckets_keep_recall(spark, monkeypatch):
+def test_buckets_above_the_bound_keep_recall(spark, monkeypatch):
+    """All rows share components, in buckets of several times the bound."""
     rng = random_rng(2)
     words = vocabulary(rng, 800)
     base = prose(rng, words, 200)
     rows = [(i, edited(rng, words, base, 0.02), "en", "s") for i in range(150)]
-    out = []
-    s, _ = packing.sketch(pa.array([r[1] for r in rows]))
     monkeypatch.setattr(packing, "DENSE", 32)
-    for slot in range(packing.COMPONENTS):
-        values, where = np.unique(s[:, slot], return_inverse=True)
-        for v in range(len(values)):
-            m = np.flatnonzero(where == v)
-            packing._nearest(m, s[m], slot, 4, out)
-    best = {}
-    for a, b, sim in zip(*(np.concatenate(x) for x in zip(*out))):
-        best.setdefault(int(a), {})[int(b)] = int(sim)
-    edges = [(a, b, x) for a, near in best.items() for b, x in sorted(near.items(), key=lambda t: (-t[1], t[0]))[:4]]
-    assert recall(rows, edges, 4) >= 0.9
+    edges = [tuple(r) for r in packing.neighbours(classes_of(spark, rows), 4).collect()]
+    assert recall(rows, of_rows(rows, edges), 4) >= 0.9
+
+
+def test_groups_within_a_bucket_above_the_bound_keep_recall(spark, monkeypatch):
+    """Groups of relatives that all share one passage with each other: the hot bucket holds every row."""
+    rng = random_rng(12)
+    words = vocabulary(rng, 2000)
+    passage = prose(rng, words, 60)
+    rows = []
+    for _ in range(60):
+        own = prose(rng, words, 150)
+        for _ in range(5):
+            rows.append((len(rows), passage + " " + edited(rng, words, own, 0.03), "en", "s"))
+    monkeypatch.setattr(packing, "DENSE", 32)
+    edges = [tuple(r) for r in packing.neighbours(classes_of(spark, rows), 4).collect()]
+    assert recall(rows, of_rows(rows, edges), 4) >= 0.9
 
 
 def test_walk_is_greedy_and_starts_low():
@@ -162,7 +183,7 @@ def chained(n_groups=60, each=5):
 
 def test_top_neighbours_stay_adjacent_in_a_block_far_above_the_bound(spark, monkeypatch):
     rows, group = chained()
-    edges = packing.neighbours(sketches_of(spark, rows))
+    edges = packing.neighbours(classes_of(spark, rows))
     assert packing.components(edges).groupBy("root").count().agg({"count": "max"}).first()[0] > 150
     monkeypatch.setattr(packing, "BLOCK_DOCUMENTS", 20)
     got = sorted(packing.pack(frame(spark, rows), window=300).collect(), key=lambda r: (r.window_id, r["at"]))
@@ -174,7 +195,7 @@ def test_top_neighbours_stay_adjacent_in_a_block_far_above_the_bound(spark, monk
 
 def test_units_contract_the_strongest_edges_in_rounds_and_in_order(spark, monkeypatch):
     rows, group = chained()
-    edges = packing.neighbours(sketches_of(spark, rows)).cache()
+    edges = packing.neighbours(classes_of(spark, rows)).cache()
     sizes = spark.createDataFrame([(i, 1) for i in range(len(rows))], "node bigint, size bigint")
     top = {}
     for e in edges.collect():

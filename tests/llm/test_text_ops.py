@@ -118,7 +118,7 @@ def test_lines_threshold_is_exact(spark):
 
 def test_lines_sketch_decides_far_from_the_threshold(spark):
     rows = [(i, f"one line for all of the many sites\nline {i} alone and long enough", "en", f"s{i}") for i in range(300)]
-    found = lines.boilerplate(lines._lines(frame(spark, rows), "source"), 50).collect()
+    found = lines.boilerplate(lines._lines(lines._rows(frame(spark, rows), "source")), 50).collect()
     assert len(found) == 1 and found[0].n_sites is None
 
 
