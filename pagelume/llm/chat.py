@@ -1,7 +1,8 @@
 """Operator 2: canonical chat turns from heterogeneous records by schema fingerprint.
 
 A record's fingerprint is the hash of its nested field paths: values and their
-types don't matter, names, nesting and lists do.  ``MAPPINGS`` declares, for
+types don't matter, names, nesting and lists do (an empty list counts as one
+of plain values, a place that holds both objects and plain values as a value).  ``MAPPINGS`` declares, for
 each known layout, where the turns are; the mappings are compiled into one
 expression that the fingerprint selects from.
 """
@@ -14,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SCALAR = r"\b(STRING|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\(\d+,\s*\d+\))(?=[,>]|$)"
+_SCALAR = r"\b(STRING|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|BOOLEAN|VOID|VARIANT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\(\d+,\s*\d+\))(?=[,>]|$)"
 
 TURNS = "array<struct<role string, content string>>"
 
@@ -60,6 +61,13 @@ def _shape(layout: object) -> str:
     return "_"
 
 
+def _without_turns(layout: object) -> object:
+    """An example record with its list of turns empty."""
+    if isinstance(layout, dict):
+        return {k: _without_turns(v) for k, v in layout.items()}
+    return [""] if isinstance(layout, list) else layout
+
+
 def fingerprint_of(layout: object) -> str:
     """Fingerprint of an example record."""
     return hashlib.sha256(_shape(layout).encode()).hexdigest()[:16]
@@ -91,17 +99,24 @@ def _turns(m: Mapping) -> str:
 def canonical_turns(records: DataFrame, key: str, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(key, layout, fingerprint, turn, role, content): one row per turn of each JSON record, in order.
 
-    A record that isn't JSON, is null, or has a layout without a mapping gives
-    one row of layout 'unmapped' with null turn and role, its content the
-    record; so does a mapped one without turns, under its layout's name with
-    null content.  Unknown role names become 'unknown', a null content stays
+    A record that isn't JSON, is null, or has a layout without a mapping (any
+    field more or less makes another layout, in one turn too) gives one row of
+    layout 'unmapped' with null turn and role, its content the record.  A
+    mapped one whose list of turns is empty gives one under its layout's name
+    with null content.  Turns of equal content stay apart, in their order; no
+    content is too long.  Unknown role names become 'unknown', a null content stays
     null.  Repeated records give repeated rows; an empty table gives none.
     """
     rows = records.select(F.col(f"`{key}`").alias("key"), F.col(f"`{record}`").cast("string").alias("record"))
     v = rows.withColumn("v", F.try_parse_json("record"))
     f = v.withColumn("fingerprint", fingerprint(F.col("v")))
     arms = {fingerprint_of(m.layout): m for m in mappings}
-    layout = "case fingerprint " + " ".join(f"when '{k}' then '{m.name}'" for k, m in arms.items()) + " else 'unmapped' end"
+    empty = [(fingerprint_of(_without_turns(m.layout)), m) for m in mappings if m.items]
+    layout = (
+        "case " + " ".join(f"when fingerprint = '{k}' then '{m.name}'" for k, m in arms.items())
+        + " " + " ".join(f"when fingerprint = '{k}' and size(try_variant_get(v, '{m.items[0]}', 'array<variant>')) = 0 then '{m.name}'" for k, m in empty)
+        + " else 'unmapped' end"
+    )
     turns = "case fingerprint " + " ".join(f"when '{k}' then {_turns(m)}" for k, m in arms.items()) + " end"
     named = f.selectExpr("key", "fingerprint", f"{layout} as layout", f"cast({turns} as {TURNS}) as turns", "record")
     out = named.select("key", "layout", "fingerprint", "record", F.posexplode_outer("turns").alias("turn", "t"))

@@ -49,6 +49,14 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert quality.quality(frame(spark, [])).count() == 0
 
 
+def test_quality_rejects_short_junk_and_keeps_short_prose(spark):
+    junk = ["That*** atly.###", "ndtion. | Erndnd | thndonea. |", "Tación Tación dota dota que que del del ñra", "EAHAAT!! ERAN!! ANEN!! THTH!!", "# # @ ~ ^ ## == the cat sat on the mat"]
+    clean = ["The cat sat.", "NASA said so.", "a@b.org", "C# and F#", "One | two", "no no, not now", "50% off, $3 each & more, at 10 o'clock on Monday in the old town"]
+    got = {r.doc_id: r.failed for r in quality.quality(frame(spark, [(i, t, "en", "s") for i, t in enumerate(junk + clean)])).collect()}
+    assert [got[i] for i in range(5)] == ["symbols", "bars", "repeated_words", "capitals", "symbols"]
+    assert all(got[i] == "" for i in range(5, 5 + len(clean)))
+
+
 def test_quality_is_one_projection_without_user_functions(spark):
     plan = quality.quality(frame(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
@@ -139,6 +147,23 @@ def test_archive_gives_back_every_record(spark):
     assert len(payloads) == len(set(payloads)) and payloads.count(b"payload") == 1
 
 
+def test_content_length_decides_where_a_payload_ends(spark):
+    import hashlib
+
+    end = b"\r\n\r\n"
+
+    def record(payload, length, tail):
+        return b"WARC/1.1\r\nWARC-Payload-Digest: sha256:" + hashlib.sha256(payload).hexdigest().encode() + b"\r\ncontent-length: " + str(length).encode() + end + payload + tail
+
+    payloads = [b"data" + end, b"data", b"cut", b"more", b"x" * 100_000]
+    raw = [record(payloads[0], 8, b""), record(payloads[1], 4, end), record(payloads[2], 99, b""), record(payloads[3], 4, b"rest" + end), record(payloads[4], 100_000, end), b"A: " + b"h" * 70_000 + end + b"late" + end]
+    archive = warc.store(spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "id int, record binary"))
+    assert {bytes(r.payload) for r in archive.payloads.collect()} == {*payloads, b"late"}
+    got = {r.key.id: r for r in warc.rebuild(archive).collect()}
+    assert [bytes(got[i].record) for i in range(6)] == raw
+    assert all(got[i].verified for i in range(5)) and got[5].verified is None
+
+
 def test_archive_of_pages_and_empty(spark):
     rows = [(1, "http://a/é", "<p>hé</p>"), (2, "http://b", "<p>hé</p>"), (3, None, None), (None, "u", ""), (1, "http://a/é", "<p>hé</p>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("digest", F.lit("own"))
@@ -182,6 +207,36 @@ def test_layouts_become_turns(spark):
     assert chat.canonical_turns(df.limit(0), "id").count() == 0
 
 
+def test_mixed_types_and_empty_lists_keep_their_layout(spark):
+    records = [
+        {"messages": [{"role": "user", "content": "q"}, {"role": "bot", "content": 7}]},
+        {"messages": []},
+        {"data": {"turns": []}},
+        {"messages": ["plain", "text"]},
+        {"messages": [{"role": "user", "content": "q", "name": "n"}]},
+        {"conversations": [{"from": "human", "value": {"a": 1}}, {"from": "gpt", "value": "x"}]},
+        {"messages": [{"role": "user", "content": "same"}, {"role": "user", "content": "same"}]},
+        {"messages": [{"role": "user", "content": "long " * 200_000}]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id int, record string")
+    got = defaultdict(list)
+    for r in chat.canonical_turns(df, "id").collect():
+        got[r.id].append((r.layout, r.turn, r.role, r.content))
+    assert sorted(got[0]) == [("messages", 0, "user", "q"), ("messages", 1, "assistant", "7")]
+    assert got[1] == [("messages", None, None, None)] and got[2] == [("nested_messages", None, None, None)]
+    assert got[3] == [("unmapped", None, None, json.dumps(records[3]))] and got[4] == [("unmapped", None, None, json.dumps(records[4]))]
+    assert sorted(got[5])[0] == ("conversations", 0, "user", '{"a":1}')
+    assert sorted(got[6]) == [("messages", 0, "user", "same"), ("messages", 1, "user", "same")]
+    assert len(got[7][0][3]) == 1_000_000
+
+
+def test_scattered_conversations_without_an_id_and_with_ties(spark):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (5, 0, "user", "same"), (5, 0, "user", "same"), (6, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    got = sorted(((r.conv_id, r.turn, r.role, r.content) for r in chat.canonical_turns(chat.scattered(df), "conv_id").collect()), key=repr)
+    assert got == sorted([(None, 0, "user", "q"), (None, 1, "assistant", "a"), (5, 0, "user", "same"), (5, 1, "user", "same"), (6, 0, "unknown", None)], key=repr)
+
+
 def test_fingerprint_ignores_values_and_order(spark):
     texts = ['{"a": 1, "b": ["x"]}', '{"b": [], "a": "s"}', '{"b": ["y", null], "a": null}', '{"a": {"c": 1}, "b": ["x"]}']
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(chat.fingerprint(F.parse_json("t")).alias("f"))
