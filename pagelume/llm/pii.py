@@ -3,8 +3,10 @@
 The nodes of a document are its tokens (between white space) that hold a digit
 or an at sign, or are long runs of capitals; other tokens are O by definition
 and serve as context.  Neighbouring nodes are joined by chain edges, and
-distant nodes with the same letters and digits by skip edges, so that a token
-that is clear in one place decides where it stands bare.  Marginals come from
+distant nodes with the same letters and digits by skip edges, and those that
+share only their first or last eight by edges with weights of their own, so
+that a token that is clear in one place decides where it, or one like it,
+stands bare.  Marginals come from
 loopy message passing over each document's whole graph.  The weights are
 fitted here, by pseudo-likelihood on generated text.
 """
@@ -22,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
+from pagelume.llm.storage import kind_of
+
+LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN")
 #: Generated documents that the weights are fitted on.
 TRAINING_DOCUMENTS = 1500
-ROUNDS = 30
+#: Rounds of messages at most; a document stops when its own messages no longer change.
+ROUNDS = 200
 
 #: What makes a token a node; the same in Java and Python.
 NODE = "[0-9@]|[A-Z]{16}"
@@ -59,7 +64,8 @@ _SHAPES: tuple[tuple[str, re.Pattern], ...] = tuple(
         ("access_key", r"A[KS]IA[A-Z0-9]{12,}"),
         ("capitals_digits", r"[A-Z0-9]{16,}"),
         ("prefixed_key", r"(sk|pk|ghp|gho|xox[bp])[-_][\w-]{16,}"),
-        ("assigned", r"(?i)\W*(\w*(pass(word|wd)?|pwd|secret|token|api_?key|key|auth)\w*)\s*[=:]\s*\S{6,}"),
+        ("ssn", r"\d{3}-\d{2}-\d{4}"),
+        ("account", r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"),
         ("mixed_long", r"(?=\S*\d)(?=\S*[A-Za-z])[\w/+=-]{20,}"),
         ("mixed_short", r"(?=\S*\d)(?=\S*[A-Za-z])[\w-]{2,11}"),
         ("word_number", r"[A-Za-z]+-?\d+"),
@@ -67,7 +73,11 @@ _SHAPES: tuple[tuple[str, re.Pattern], ...] = tuple(
 )
 _CUES = re.compile(r"(?i)\W*\w*(password|passwd|pwd|secret|token|api_?key|key|auth)\w*\W*")
 _N_SHAPES = len(_SHAPES)
-FEATURES = tuple(n for n, _ in _SHAPES) + ("luhn", "at", "quoted", "cue_before", "equals_before", "phone_word", "card_word", "mail_word", "bias")
+FEATURES = tuple(n for n, _ in _SHAPES) + ("assigned", "mod97", "ssn_word", "luhn", "at", "quoted", "cue_before", "equals_before", "phone_word", "card_word", "mail_word", "bias")
+_NAME = re.compile(r"\W*(\w+)")
+_CUE = re.compile(r"(?i)pass(word|wd)?|pwd|secret|token|api_?key|key|auth")
+_SEPARATOR = re.compile("[=:]")
+_SSN_WORD = re.compile(r"(?i)\W*(ssn|social|security)\W*")
 _PHONE_WORD, _CARD_WORD, _MAIL_WORD = (re.compile(p) for p in (r"(?i)\W*(phone|tel|call|mobile|fax|cell)\W*", r"(?i)\W*(card|visa|credit|debit)\W*", r"(?i)\W*(e-?mail|contact|write)\W*"))
 
 
@@ -79,6 +89,21 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _assigned(core: str) -> bool:
+    """A name that speaks of a secret, = or :, and six characters or more; in time linear in the length."""
+    m = _SEPARATOR.search(core, len(core) - len(core.lstrip("=:")))
+    if not m or len(core) - m.end() < 6:
+        return False
+    name = _NAME.fullmatch(core, 0, m.start())
+    return bool(name and _CUE.search(name.group(1)))
+
+
+def _mod97(core: str) -> bool:
+    """Check digits of an international account number."""
+    turned = core[4:] + core[:4]
+    return 15 <= len(core) <= 34 and core.isascii() and core.isalnum() and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
 class Node(NamedTuple):
     start: int
     end: int
@@ -106,6 +131,9 @@ def nodes(text: str) -> list[Node]:
         digits = re.sub(r"\D", "", core) if len(core) < 40 else ""
         before = text[max(0, a - 40) : a].split()
         extra = (
+            _assigned(core),
+            _mod97(core),
+            any(_SSN_WORD.fullmatch(w) for w in before[-2:]),
             13 <= len(digits) <= 19 and _luhn(digits),
             "@" in core[1:-1],
             raw[:1] in "\"'`",
@@ -124,42 +152,57 @@ def nodes(text: str) -> list[Node]:
 
 
 class Graph(NamedTuple):
-    """Features (n x FEATURES), chain edges and skip edges (m x 2) over the nodes of many documents."""
+    """Features (n x FEATURES), chain, skip and similar edges (m x 2) over the nodes of many documents, and each node's document."""
 
     x: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    similar: np.ndarray
+    doc: np.ndarray
 
 
-#: Characters and digits that a key needs to make skip edges.
+#: Characters and digits that a key needs to make skip edges; shorter ones (years, prices, parts of numbers) repeat by chance.
 MIN_KEY = 6
+#: First or last characters of the keys of similar tokens, which are longer by half at least.
+SIMILAR = 8
 
 
-def graph(documents: list[list[Node]]) -> Graph:
+def graph(documents: list[list[Node]], min_key: int = MIN_KEY) -> Graph:
+    """The graph of each document: a repeated key is joined with its last occurrence, a similar one with the last of the same beginning or else end."""
     n = sum(map(len, documents))
     x = np.zeros((n, len(FEATURES)), np.float32)
-    chain, skip, i = [], [], 0
+    chain, skip, similar, i = [], [], [], 0
     for doc in documents:
         seen: dict[str, int] = {}
+        near: dict[tuple[int, str], int] = {}
         for k, node in enumerate(doc):
             x[i, node.features] = 1
             if k and node.after:
                 chain.append((i - 1, i))
-            if len(node.key) >= MIN_KEY:
+            if len(node.key) >= min_key:
                 j = seen.get(node.key)
+                ends = [(0, node.key[:SIMILAR]), (1, node.key[-SIMILAR:])] if 2 * len(node.key) >= 3 * SIMILAR else []
                 if j is not None:
                     skip.append((j, i))
+                else:
+                    j = next((near[e] for e in ends if e in near), None)
+                    if j is not None:
+                        similar.append((j, i))
                 seen[node.key] = i
+                for e in ends:
+                    near[e] = i
             i += 1
-    return Graph(x, np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2))
+    edges = [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip, similar)]
+    return Graph(x, *edges, np.repeat(np.arange(len(documents)), [len(d) for d in documents]))
 
 
 class Weights(NamedTuple):
-    """Log potentials: features x labels, chain and skip (label before x label after)."""
+    """Log potentials: features x labels, and by kind of edge, label before x label after."""
 
     node: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    similar: np.ndarray
 
 
 def _logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
@@ -168,26 +211,37 @@ def _logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
 
 
 def marginals(g: Graph, w: Weights, rounds: int = ROUNDS, damping: float = 0.3, tolerance: float = 1e-4) -> np.ndarray:
-    """Label probabilities of every node by loopy sum-product message passing."""
-    theta = g.x @ w.node
-    k = theta.shape[1]
-    edges = np.concatenate([g.chain, g.skip])
+    """Label probabilities of every node by loopy sum-product message passing.
+
+    Each document stops by itself, when none of its messages changes by
+    ``tolerance`` any more, so its probabilities don't depend on what else is
+    in the batch.  One that doesn't settle within ``rounds`` is read as it
+    stands after the last of them.
+    """
+    theta = g.x.astype(np.float64) @ w.node
+    k = w.node.shape[1]
+    edges = np.concatenate([g.chain, g.skip, g.similar])
     if len(edges):
-        pot = np.concatenate([np.repeat(w.chain[None], len(g.chain), 0), np.repeat(w.skip[None], len(g.skip), 0)])
+        kind = np.repeat(np.arange(3), [len(g.chain), len(g.skip), len(g.similar)])
+        pots = np.stack([w.chain, w.skip, w.similar, w.chain.T, w.skip.T, w.similar.T])
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
+        kind = np.concatenate([kind, kind + 3])
         back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
         msg = np.full((len(src), k), -np.log(k))
+        of = g.doc[src]
+        live = np.arange(len(src))
         for _ in range(rounds):
-            belief = theta.astype(np.float64).copy()
-            np.add.at(belief, dst, msg)
-            new = _logsumexp((belief[src] - msg[back])[:, :, None] + pot, axis=1)
+            belief = theta.copy()
+            np.add.at(belief, dst[live], msg[live])
+            new = _logsumexp((belief[src[live]] - msg[back[live]])[:, :, None] + pots[kind[live]], axis=1)
             new -= _logsumexp(new, axis=1)[:, None]
-            change = np.abs(new - msg).max()
-            msg = damping * msg + (1 - damping) * new
-            if change < tolerance:
+            change = np.abs(new - msg[live]).max(axis=1)
+            msg[live] = damping * msg[live] + (1 - damping) * new
+            moving = np.zeros(g.doc[-1] + 1, bool)
+            moving[of[live[change >= tolerance]]] = True
+            live = live[moving[of[live]]]
+            if not len(live):
                 break
-        theta = theta.astype(np.float64)
         np.add.at(theta, dst, msg)
     return np.exp(theta - _logsumexp(theta, axis=1)[:, None]) if len(theta) else np.zeros((0, k))
 
@@ -214,8 +268,23 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]
         body = rng.choice("3456") + d(14)
         return body + next(c for c in "0123456789" if _luhn(body + c)) if rng.random() < 0.6 else body + d(1)
 
+    def account() -> str:
+        land, rest = of("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2, 2), of("0123456789", 11, 23)
+        return next(x for i in range(98) if _mod97(x := f"{land}{i + 2:02d}{rest}"))
+
+    def like(value: str) -> str:
+        """``value`` with some of its last characters, or its first, drawn anew."""
+        n, at_end = rng.randint(1, 3), rng.random() < 0.7
+        drawn = (rng.choice("0123456789" if c.isdigit() else "abcdef" if c.islower() else "GHJKLM" if c.isupper() else c) for c in (value[-n:] if at_end else value[:n]))
+        part = "".join(drawn)
+        return value[:-n] + part if at_end else part + value[n:]
+
     def private() -> tuple[str, str, str]:
-        kind = rng.choice(("EMAIL", "PHONE", "IP", "CARD", "SECRET", "SECRET"))
+        kind = rng.choice(("EMAIL", "PHONE", "IP", "CARD", "SECRET", "SECRET", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "SECRET", "SSN", "IBAN"))
+        if kind == "SSN":
+            return kind, rng.choice(("", "ssn ", "SSN: ")), f"{d(3)}-{d(2)}-{d(4)}"
+        if kind == "IBAN":
+            return kind, rng.choice(("", "iban ", "account ")), account()
         if kind == "EMAIL":
             return kind, "", f"{letters(2, 8)}{rng.choice(['', '.', '_'])}{rng.choice([letters(1, 6), d(1, 3)])}@{letters(3, 8)}{rng.choice(['', d(1)])}.{rng.choice(['com', 'org', 'co.uk', 'example.com'])}"
         if kind == "PHONE":
@@ -254,13 +323,18 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]
                 spans.append((a, a + len(value), label))
                 text += value
                 kept.append((label, value.split("=")[-1].split(":")[-1].strip('"') if label == "SECRET" else value))
-            elif r < 0.16 and kept:
+            elif r < 0.18 and kept:
                 label, value = rng.choice(kept)
                 spans.append((len(text), len(text) + len(value), label))
                 text += value
-            elif r < 0.19 and plain:
-                text += rng.choice(plain)
-            elif r < 0.32:
+            elif r < 0.20 and kept and (alike := [x for x in kept if x[0] in ("SECRET", "EMAIL", "IBAN") and 2 * sum(map(str.isalnum, x[1])) >= 3 * SIMILAR]):
+                label, value = rng.choice(alike)
+                value = like(value)
+                spans.append((len(text), len(text) + len(value), label))
+                text += value
+            elif r < 0.23 and plain:
+                text += rng.choice(plain) if rng.random() < 0.6 else like(rng.choice(plain))
+            elif r < 0.36:
                 plain.append(harmless())
                 text += plain[-1]
             else:
@@ -282,26 +356,27 @@ def labelled(sample: list[tuple[str, list[tuple[int, int, str]]]]) -> tuple[list
 
 
 @functools.lru_cache(maxsize=4)
-def fitted(n: int = TRAINING_DOCUMENTS, seed: int = 5, steps: int = 250, rate: float = 0.1, decay: float = 1e-3) -> Weights:
+def fitted(n: int = TRAINING_DOCUMENTS, seed: int = 5, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Weights:
     """Weights of the largest pseudo-likelihood: each node given its neighbours' labels."""
     docs, y = labelled(generated(n, seed))
     g, k = graph(docs), len(LABELS)
     hot = np.eye(k)[y]
-    w = [np.zeros((len(FEATURES), k)), np.zeros((k, k)), np.zeros((k, k))]
+    kinds = (g.chain, g.skip, g.similar)
+    w = [np.zeros((len(FEATURES), k))] + [np.zeros((k, k)) for _ in kinds]
     m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
     for t in range(1, steps + 1):
         score = g.x @ w[0]
-        for e, p in ((g.chain, w[1]), (g.skip, w[2])):
+        for e, p in zip(kinds, w[1:]):
             np.add.at(score, e[:, 1], p[y[e[:, 0]]])
             np.add.at(score, e[:, 0], p[:, y[e[:, 1]]].T)
         miss = np.exp(score - _logsumexp(score, axis=1)[:, None]) - hot
         grad = [g.x.T @ miss / len(y)]
-        for e in (g.chain, g.skip):
+        for e in kinds:
             p = np.zeros((k, k))
             np.add.at(p, y[e[:, 0]], miss[e[:, 1]])
             np.add.at(p.T, y[e[:, 1]], miss[e[:, 0]])
             grad.append(p / len(y))
-        for i in range(3):
+        for i in range(len(w)):
             d = grad[i] + decay * w[i]
             m[i], v[i] = 0.9 * m[i] + 0.1 * d, 0.999 * v[i] + 0.001 * d * d
             w[i] = w[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
@@ -335,9 +410,14 @@ def entities(texts: list[str | None], w: Weights) -> Iterator[tuple[int, str, in
 def private_data(docs: DataFrame) -> DataFrame:
     """(doc_id, label, start, end, value, probability) of each entity in every row of ``docs``.
 
-    Offsets count characters of the whole text, the end exclusive.  Rows
-    without entities (null and empty texts too) give none; repeated rows give
-    theirs each.  Any text length is read as one graph.
+    The kinds are those of LABELS; names and postal addresses, which need
+    gazetteers, are none of them, and an IBAN is found where it is written in
+    one piece.  Offsets count characters of the whole text, the end exclusive.
+    Rows without entities (null and empty texts too) give none; repeated rows
+    give theirs each, and of labels of one probability the first in LABELS
+    counts.  Any text length is read as one graph, in time that grows with its
+    length; a row's result doesn't depend on other rows.  Skip edges need keys
+    of MIN_KEY letters and digits.
     """
     w = fitted()
 
@@ -345,12 +425,13 @@ def private_data(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-                rows = [(ids[d], label, a, b, texts[d][a:b], round(p, 4)) for d, label, a, b, p in entities(texts, w)]
+                texts = batch.column("text").to_pylist()
+                rows = [(d, label, a, b, texts[d][a:b], round(p, 4)) for d, label, a, b, p in entities(texts, w)]
+                of, *rest = (pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64())))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()))],
+                    [batch.column("doc_id").take(of), *rest],
                     names=["doc_id", "label", "start", "end", "value", "probability"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(NODE))
-    return rows.mapInArrow(run, "doc_id bigint, label string, start bigint, end bigint, value string, probability double")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(NODE))
+    return rows.mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, label string, start bigint, end bigint, value string, probability double")
