@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelume.llm import exact, mixing, packing, quality, simhash
-from pagelume.llm.storage import written
+from pagelume.llm.storage import cleared, so_far, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written and read again."""
+    """All stages over the documents of ``sf_dir``, each written and read again.
+
+    What a stage wrote on its way is deleted when its result stands.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        mark = so_far()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage-{name.replace(' ', '-')}")
+            cleared(spark, mark, docs)
     return docs
