@@ -142,9 +142,10 @@ def merge_extraction(old: Column, new: Column) -> Column:
     return F.when(old.isNull(), new).otherwise(merged)
 
 
-def optimized_state(rewritten: Column, linearized: Column) -> Column:
-    """How the last write left a file; '' if it is unknown."""
-    return F.when(rewritten.isNull(), "").when(~rewritten, "").when(linearized, REWRITTEN).otherwise("rewritten-delinearized")
+def optimized_state(rewritten: Column, linearized: Column, was_linearized: Column) -> Column:
+    """How the last write left a file; '' if nothing was rewritten, or it is unknown.  A rewrite that isn't linearized loses the input's linearization."""
+    lost = F.when(F.coalesce(was_linearized, F.lit(False)), "rewritten-delinearized").otherwise("rewritten")
+    return F.when(F.coalesce(~rewritten, F.lit(True)), "").when(linearized, REWRITTEN).otherwise(lost)
 
 
 def common_capabilities(sources: DataFrame, by: str) -> DataFrame:

@@ -10,7 +10,12 @@ from pagelume.operators.raster import otsu
 
 MAX_SIDE, MIN_POINTS, MIN_INK, MAX_INK = 1200, 500, 0.002, 0.60
 SEARCH, COARSE, FINE, MIN_CONFIDENCE = 15.0, 0.5, 0.025, 0.15
-SLICES, EDGE_SHARE = 24, 0.05
+#: Bands across a page and the points that one needs.
+BANDS, BAND_POINTS = 3, 400
+#: Slices in which the sides of the text are looked for, points of a slice, slices of a side, and how far in a side lies.
+SLICES, SLICE_POINTS, SIDE_SLICES, EDGE_SHARE = 24, 40, 8, 0.05
+#: Largest median distance of a side's slices from its line, as a share of the width.
+MAX_RESIDUAL = 0.02
 
 
 def median(x: np.ndarray) -> float:
@@ -35,78 +40,106 @@ def ink_points(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, tuple[i
     return x.astype(np.float64), y.astype(np.float64), len(x) / max(1, small.size), small.shape
 
 
-def profile_score(x: np.ndarray, y: np.ndarray, degrees: float) -> float:
-    """Sum of squares of the profile across lines at an angle."""
+def profile_scores(x: np.ndarray, y: np.ndarray, degrees: float) -> tuple[float, float]:
+    """Sums of squares of the profile across lines falling to the right by an angle, and of its steps."""
     a = np.radians(degrees)
     row = np.floor(y * np.cos(a) - x * np.sin(a)).astype(np.int64)
-    n = np.bincount(row - row.min())
-    return float((n.astype(np.float64) ** 2).sum())
+    n = np.bincount(row - row.min()).astype(np.float64)
+    return float((n**2).sum()), float((np.diff(n, prepend=0.0, append=0.0) ** 2).sum())
 
 
-def search(x: np.ndarray, y: np.ndarray) -> tuple[float, float, bool]:
-    """(degrees, confidence, at the end of the range): coarse, then fine around the best."""
+def search(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, bool]:
+    """(degrees, confidence, degrees by the steps of the profile, at the end of the range); counter-clockwise is positive.
+
+    Each score is searched coarsely, then finely around its own best angle.
+    Rows run downward, so a counter-clockwise turn is a fall by its negative.
+    """
     coarse = np.arange(-SEARCH, SEARCH + COARSE / 2, COARSE)
-    scores = np.array([profile_score(x, y, d) for d in coarse])
-    best = int(np.argmax(scores))
-    fine = np.arange(coarse[best] - COARSE, coarse[best] + COARSE + FINE / 2, FINE)
-    fine = fine[np.abs(fine) <= SEARCH + 1e-9]
-    sharp = np.array([profile_score(x, y, d) for d in fine])
-    i = int(np.argmax(sharp))
-    middle = median(scores)
-    return float(fine[i]), (float(sharp[i]) / middle - 1 if middle else 0.0), best in (0, len(coarse) - 1)
+    scores = np.array([profile_scores(x, y, d) for d in coarse])
+    found = []
+    for which in (0, 1):
+        at = int(np.argmax(scores[:, which]))
+        around, most = coarse[at], scores[at, which]
+        fine = np.arange(around - COARSE, around + COARSE + FINE / 2, FINE)
+        fine = fine[np.abs(fine) <= SEARCH + 1e-9]
+        sharp = np.array([profile_scores(x, y, d)[which] for d in fine])
+        better = sharp.max() > most  # of equal scores the coarse angle stays
+        found.append((float(-fine[np.argmax(sharp)] if better else -around), float(max(most, sharp.max()))))
+    middle = median(scores[:, 0])
+    return found[0][0], (found[0][1] / middle - 1 if middle else 0.0), found[1][0], int(np.argmax(scores[:, 0])) in (0, len(coarse) - 1)
 
 
 def fit_line(t: np.ndarray, v: np.ndarray) -> tuple[float, float]:
-    """Theil-Sen slope and the median intercept."""
+    """Theil-Sen slope, and the median distance from the line through the median intercept."""
     i, j = np.triu_indices(len(t), 1)
     d = t[j] - t[i]
     slope = median((v[j] - v[i])[d != 0] / d[d != 0])
-    return slope, median(v - slope * t)
+    rest = v - slope * t
+    return slope, median(np.abs(rest - median(rest)))
 
 
-def edges(x: np.ndarray, y: np.ndarray, height: int) -> tuple[float | None, float | None]:
-    """Angles of the left and right text edges, in degrees from vertical; null with under three slices."""
-    band = np.minimum((y * SLICES / max(1, height)).astype(int), SLICES - 1)
-    t, left, right = [], [], []
+def edges(x: np.ndarray, y: np.ndarray, degrees: float) -> tuple[float, float, float] | None:
+    """(left, right, residual): angles of the sides of the text, from vertical, after it is turned back by its own angle; None with too few slices."""
+    a = np.radians(degrees)
+    across, down = x * np.cos(a) - y * np.sin(a), x * np.sin(a) + y * np.cos(a)
+    low, high = down.min(), down.max()
+    if high - low < SLICES:
+        return None
+    step = (high - low) / SLICES
+    of = np.minimum(((down - low) / step).astype(int), SLICES - 1)
+    t, sides = [], []
     for b in range(SLICES):
-        xs = x[band == b]
-        if len(xs) >= 20:
-            t.append((b + 0.5) * height / SLICES)
-            left.append(np.quantile(xs, EDGE_SHARE))
-            right.append(np.quantile(xs, 1 - EDGE_SHARE))
-    if len(t) < 3:
-        return None, None
-    t = np.array(t)
-    return tuple(float(np.degrees(np.arctan(fit_line(t, np.array(v))[0]))) for v in (left, right))
+        xs = np.sort(across[of == b])
+        if len(xs) >= SLICE_POINTS:
+            k = int(EDGE_SHARE * len(xs))
+            t.append(low + (b + 0.5) * step)
+            sides.append((xs[k], xs[-1 - k]))
+    if len(t) < SIDE_SLICES:
+        return None
+    fits = [fit_line(np.array(t), np.array(v)) for v in zip(*sides)]
+    left, right = (float(np.degrees(np.arctan(slope))) for slope, _ in fits)
+    return left, right, max(r for _, r in fits)
 
 
 def measure(grey: np.ndarray) -> dict:
-    """Skew estimate of one raster; ``ok`` says that it can be relied on."""
-    x, y, share, (h, _) = ink_points(grey)
-    out = {"deg": None, "confidence": None, "ok": False, "points": len(x), "ink": share, "spread": None, "railed": False, "left": None, "right": None}
+    """Skew estimate of one raster, counter-clockwise positive.
+
+    ``ok`` says that the raster has lines to measure; without it the angles are
+    0.  ``spread`` is the widest disagreement of bands that can be measured, -1
+    with under two.  ``converge`` is the left side's angle less the right
+    side's, to be trusted if ``edges_ok``.
+    """
+    x, y, share, (h, w) = ink_points(grey)
+    out = {
+        "deg": 0.0, "confidence": 0.0, "alt_deg": 0.0, "ok": False, "points": len(x), "ink": share, "spread": -1.0, "railed": False,
+        "left": None, "right": None, "converge": None, "residual": None, "edges_ok": False,
+    }
     if len(x) < MIN_POINTS or not MIN_INK <= share <= MAX_INK:
         return out
-    deg, confidence, railed = search(x, y)
-    parts = [search(x[m], y[m])[0] for k in range(3) if (m := (y * 3 // h).astype(int) == k).sum() >= MIN_POINTS]
-    left, right = edges(x, y, h)
-    return out | {
-        "deg": deg,
-        "confidence": confidence,
-        "ok": confidence >= MIN_CONFIDENCE and not railed,
-        "spread": max(parts) - min(parts) if len(parts) == 3 else None,
-        "railed": railed,
-        "left": left,
-        "right": right,
-    }
+    deg, confidence, alt, railed = search(x, y)
+    out |= {"confidence": confidence, "railed": railed, "ok": confidence >= MIN_CONFIDENCE and not railed}
+    if not out["ok"]:
+        return out
+    out |= {"deg": deg, "alt_deg": alt}
+    band = np.minimum(y.astype(int) // max(h // BANDS, 1), BANDS - 1)
+    parts = [search(x[band == k], y[band == k]) for k in range(BANDS) if (band == k).sum() >= BAND_POINTS]
+    parts = [d for d, c, _, end in parts if c >= MIN_CONFIDENCE and not end]
+    if len(parts) >= 2:
+        out["spread"] = max(parts) - min(parts)
+    sides = edges(x, y, deg)
+    if sides:
+        left, right, residual = sides
+        out |= {"left": left, "right": right, "converge": left - right, "residual": residual, "edges_ok": residual <= MAX_RESIDUAL * w}
+    return out
 
 
-KINDS = "deg double, confidence double, ok boolean, points bigint, ink double, spread double, railed boolean, left double, right double"
+KINDS = "deg double, confidence double, alt_deg double, ok boolean, points bigint, ink double, spread double, railed boolean, left double, right double, converge double, residual double, edges_ok boolean"
 
 
 def ruled(degrees: float, lengths: np.ndarray, side: int = 192, pitch: int = 8, thick: int = 1, margin: int = 24) -> np.ndarray:
-    """A white page with ruled lines turned by an angle: an even left edge, right ends drawn in by ``lengths`` (0 to 255)."""
+    """A white page with ruled lines turned counter-clockwise by an angle: an even left edge, right ends drawn in by ``lengths`` (0 to 255)."""
     y, x = np.indices((side, side)) - (side - 1) / 2
-    a = np.radians(degrees)
+    a = np.radians(-degrees)
     u, v = x * np.cos(a) + y * np.sin(a), y * np.cos(a) - x * np.sin(a)
     line = np.floor((v + side) / pitch).astype(int)
     half = side / 2 - margin

@@ -51,7 +51,7 @@ select l_orderkey as page, l_linenumber as n,
   case when l_partkey % 10 = 0 then null when l_partkey % 23 = 0 then 10e0 + l_quantity else 10e0 + l_quantity * (1 + l_partkey % 17) end as x1,
   case when l_partkey % 10 = 0 then null else 20e0 + l_quantity * (1 + l_suppkey % 19) end as y1,
   l_partkey % 3 <> 0 as has_ap, l_partkey % 3 = 1 as has_apn, l_suppkey % 13 = 0 as has_oc
-from {lineitem} where l_linenumber <= 3
+from {lineitem}
 """
 
 FONTS = """

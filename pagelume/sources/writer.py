@@ -306,7 +306,11 @@ def with_properties(data: bytes, properties: dict[str, str]) -> bytes:
 
 
 def optimize(data: bytes) -> tuple[bytes, str]:
-    """(the smaller of the file and the file rewritten, 'rewritten' or ''): unreached objects go, plain streams are deflated."""
+    """(the smaller of the file and the file rewritten, how it was left): unreached objects go, plain streams are deflated.
+
+    The state is '' for a file that stays, 'rewritten-delinearized' if the
+    rewrite lost the input's linearization, 'rewritten' otherwise.
+    """
     d, copy = Document(data), _Copy()
     if d.encryption()["encrypted"]:
         return data, ""
@@ -318,7 +322,8 @@ def optimize(data: bytes) -> tuple[bytes, str]:
     pages = [copy.moved(d, _page_facts(d, n), small) for n in range(1, len(d.page_refs) + 1)]
     info = d.of(d.trailer, "Info", dict)
     out = copy.finish(pages, copy.add(copy.moved(d, dict(info))) if info else None)
-    return (out, "rewritten") if len(out) < len(data) else (data, "")
+    how = "rewritten-delinearized" if b"/Linearized" in data[:1024] else "rewritten"
+    return (out, how) if len(out) < len(data) else (data, "")
 
 
 def over_files(files: DataFrame, change: Callable[[bytes], bytes]) -> DataFrame:
