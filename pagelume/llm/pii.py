@@ -64,6 +64,7 @@ _SHAPES: tuple[tuple[str, re.Pattern], ...] = tuple(
         ("access_key", r"A[KS]IA[A-Z0-9]{12,}"),
         ("capitals_digits", r"[A-Z0-9]{16,}"),
         ("prefixed_key", r"(sk|pk|ghp|gho|xox[bp])[-_][\w-]{16,}"),
+        ("capitals", r"[A-Z]{16,}"),
         ("ssn", r"\d{3}-\d{2}-\d{4}"),
         ("account", r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"),
         ("mixed_long", r"(?=\S*\d)(?=\S*[A-Za-z])[\w/+=-]{20,}"),
@@ -308,7 +309,7 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]
 
     def harmless() -> str:
         return rng.choice(
-            (d(1, 3), str(rng.randint(1900, 2030)), d(5, 8), f"${d(1, 3)}.{d(2)}", f"{d(1, 2)}.{d(1, 3)}", f"{d(1)}.{d(1)}.{d(1, 2)}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"{of(caps, 2, 3)}-{d(3, 5)}", f"{letters(2, 6)}{d(1, 2)}", f"{d(1)}rd", f"{d(2)}%", f"{d(9, 11)}", f"@{letters(3, 9)}", f"{d(2)}/{d(2)}", f"{letters(3,7)}@", f"{300 + rng.randint(0, 600)}.{d(3)}.{d(3)}.{d(3)}", of(hexes, 8, 15))
+            (d(1, 3), str(rng.randint(1900, 2030)), d(5, 8), f"${d(1, 3)}.{d(2)}", f"{d(1, 2)}.{d(1, 3)}", f"{d(1)}.{d(1)}.{d(1, 2)}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"{of(caps, 2, 3)}-{d(3, 5)}", f"{letters(2, 6)}{d(1, 2)}", f"{d(1)}rd", f"{d(2)}%", f"{d(9, 11)}", f"@{letters(3, 9)}", f"{d(2)}/{d(2)}", f"{letters(3,7)}@", f"{300 + rng.randint(0, 600)}.{d(3)}.{d(3)}.{d(3)}", of(hexes, 8, 15), of(caps[:26], 16, 24) + rng.choice(("", "!!")))
         )
 
     out = []

@@ -325,6 +325,7 @@ BY_HAND = [
     ("Transfer to DE89370400440532013000 within 14 days.", [("IBAN", "DE89370400440532013000")]),
     ("In 1998 the town had 12,450 people, 3.5% more than in 1990.", []),
     ("Chapter 12, page 345: see figure 7.2 and table 10.", []),
+    ("CONGRATULATIONSWINNER!! CLAIM NOW!! CONGRATULATIONSWINNER!! CLAIM NOW!! CONGRATULATIONSWINNER!!", []),
     ("Version 2.14.1 fixes 37 bugs, e.g. ABC-1234, since 10:45.", []),
 ]
 
