@@ -45,7 +45,8 @@ def profile_scores(x: np.ndarray, y: np.ndarray, degrees: float) -> tuple[float,
     a = np.radians(degrees)
     row = np.floor(y * np.cos(a) - x * np.sin(a)).astype(np.int64)
     n = np.bincount(row - row.min()).astype(np.float64)
-    return float((n**2).sum()), float((np.diff(n, prepend=0.0, append=0.0) ** 2).sum())
+    step = n[1:] - n[:-1]
+    return float(n @ n), float(n[0] ** 2 + step @ step + n[-1] ** 2)
 
 
 def search(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, bool]:

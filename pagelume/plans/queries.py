@@ -505,6 +505,11 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("image"), F.lit(8).alias("w"), F.lit(8).alias("h"), F.unhex(F.array_join(F.transform(grey, lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("pixels"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for kernels that take far longer than a row takes to move."""
+    return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism), "image")
+
+
 @query(f"""with {_PIXELS_SQL}, s as (select a.image, a.x, a.y, a.v, sum(b.v) / count(*) as m, sum(b.v * b.v) / count(*) as q from px a join px b on a.image = b.image and abs(a.x - b.x) <= 15 and abs(a.y - b.y) <= 15 group by all)
 select image, x, y, v < m * (1 + 0.5e0 * (sqrt(greatest(q - m * m, 0)) / 128 - 1)) as ink from s""")
 def sauvola(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -568,7 +573,7 @@ def quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
         palette, index = raster.quantize(rgb, 4)
         return {"colours": len(palette), "palette": palette[:, 0].tolist(), "psnr": round(min(raster.psnr(palette[index], rgb), 99.0), 6)}
 
-    return raster.over_rasters(rasters(spark, sf_dir), kernel, "colours bigint, palette array<bigint>, psnr double")
+    return raster.over_rasters(spread(rasters(spark, sf_dir)), kernel, "colours bigint, palette array<bigint>, psnr double")
 
 
 @query()
@@ -579,7 +584,7 @@ def downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
         small = raster.downsample(grey, 300, 150)
         return {"w": small.shape[1], "h": small.shape[0], "mean": round(float(small.mean()), 6)}
 
-    return raster.over_rasters(rasters(spark, sf_dir), kernel, "w bigint, h bigint, mean double")
+    return raster.over_rasters(spread(rasters(spark, sf_dir)), kernel, "w bigint, h bigint, mean double")
 
 
 @query()
@@ -590,7 +595,7 @@ def skew_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
         drawn = (int(grey.sum()) % 81 - 40) / 4
         return {"drawn": drawn} | skew.measure(skew.ruled(drawn, grey.ravel()))
 
-    return raster.over_rasters(rasters(spark, sf_dir), kernel, "drawn double, " + skew.KINDS)
+    return raster.over_rasters(spread(rasters(spark, sf_dir)), kernel, "drawn double, " + skew.KINDS)
 
 
 @query()
@@ -625,11 +630,9 @@ case when part % 5 = 0 then case when part % 3 = 0 then null else 20e0 end when
 round(cos(radians(p - 25)), 9) as turn_0, round(s - s * cos(radians(p - 25)) + q * sin(radians(p - 25)), 6) + 0e0 as turn_4, round(q - s * sin(radians(p - 25)) - q * cos(radians(p - 25)), 6) + 0e0 as turn_5,
 ((part % 9 - 4) * 90 % 360 + 360) % 360 as quarter, round(part * 72e0 / 150, 6) as points, case when supp % 300 + 72 <= 150 then part else greatest(1, cast(round(part * 150e0 / (supp % 300 + 72)) as int)) end as scaled,
 cast(round(least(1e0, greatest(0e0, (p - 10) / 20)) * 255) as int) as grey, case when part % 300 <= 2 then 1 when part % 300 <= 4 then 2 when part % 300 <= 16 then 4 when part % 300 <= 256 then 8 end as depth,
-case when q > 0 and p > 0 and supp > 0 then round(100 * q * 1000 / (supp * 100e0 * p), 6) end as scale,
-part % 3 <= 1 and supp % 3 <= 1 and 50 + part % 50 >= 60 and 60 + supp % 30 >= 70 and (part % 2 = 0 or (part % 3 + 2 <= 2 and supp % 3 + 2 <= 2 and 48 + part % 50 >= 59 and 58 + supp % 30 >= 69)) as covers_rect,
-part % 3 <= 2 and supp % 3 <= 2 and 50 + part % 50 >= 59 and 60 + supp % 30 >= 69 and (part % 2 = 0 or (part % 3 + 2 <= 2 and supp % 3 + 2 <= 2 and 48 + part % 50 >= 59 and 58 + supp % 30 >= 69)) as covers_record from t""")
+case when q > 0 and p > 0 and supp > 0 then round(100 * q * 1000 / (supp * 100e0 * p), 6) end as scale from t""")
 def geometry_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products, boxes under matrices, clips, page cover, turns and sizes."""
+    """Products, boxes under matrices, clips, turns and sizes."""
     t = S.derive(spark, sf_dir, _NUMBERS)
     part, supp, q, p, s = (F.col(c) for c in ("part", "supp", "q", "p", "s"))
     one, zero = F.lit(1.0), F.lit(0.0)
@@ -638,19 +641,29 @@ def geometry_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     clip = F.when(part % 3 != 0, F.array(zero, zero, F.lit(20.0), F.lit(20.0)))
     path = F.when(part % 5 != 0, F.array(s, q, s + p, q + 5))
     turn = G.rotate_about(p - 25, s, q)
-    rect, page = F.array(part % 3, supp % 3, 50 + part % 50, 60 + supp % 30), F.array(*[F.lit(x) for x in (1, 1, 60, 70)])
-    x0, y0, x1, y1 = rect[0] + 2.0, rect[1] + 2.0, rect[2] - 2.0, rect[3] - 2.0
-    quad = F.when(part % 2 != 0, F.array(x0, y0, x1, y0, x1, y1, x0, y1))
     return t.select(
         "k", "n", *[product[i].alias(f"product_{i}") for i in (0, 2, 4, 5)],
         *[up[i].alias(f"up_{c}") for i, c in enumerate(("x0", "y0", "x1", "y1"))], *[box[i].alias(f"box_{c}") for i, c in enumerate(("x0", "y0", "x1", "y1"))],
         G.narrow_clip(clip, path)[2].alias("clip_x1"), F.round(turn[0], 9).alias("turn_0"), *[(F.round(turn[i], 6) + 0.0).alias(f"turn_{i}") for i in (4, 5)],
         G.quarter_turns((part % 9 - 4) * 90).alias("quarter"), F.round(G.page_points(part, F.lit(150)), 6).alias("points"), G.scaled_pixels(part, supp % 300 + 72, F.lit(150)).alias("scaled"),
         G.grey_level((p - 10) / 20).alias("grey"), G.palette_depth(part % 300).alias("depth"), F.round(G.word_scale(q, p, supp * 100.0), 6).alias("scale"),
-        G.covers_page_rect(rect, page, quad).alias("covers_rect"), G.covers_page_record(rect.cast("array<double>"), page.cast("array<double>"), quad).alias("covers_record"),
     )
 
 
+@query(f"""with t as ({S.plain(_NUMBERS)}) select k, n, part % 3 <= 1 and supp % 3 <= 1 and 50 + part % 50 >= 60 and 60 + supp % 30 >= 70 and (part % 2 = 0 or (part % 3 + 2 <= 2 and supp % 3 + 2 <= 2 and 48 + part % 50 >= 59 and 58 + supp % 30 >= 69)) as covers_rect,
+part % 3 <= 2 and supp % 3 <= 2 and 50 + part % 50 >= 59 and 60 + supp % 30 >= 69 and (part % 2 = 0 or (part % 3 + 2 <= 2 and supp % 3 + 2 <= 2 and 48 + part % 50 >= 59 and 58 + supp % 30 >= 69)) as covers_record from t""")
+def page_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a placement covers its page, in whole points and on a stored record."""
+    t = S.derive(spark, sf_dir, _NUMBERS)
+    part, supp = F.col("part"), F.col("supp")
+    rect = F.array(part % 3, supp % 3, 50 + part % 50, 60 + supp % 30)
+    page = F.array(*[F.lit(x) for x in (1, 1, 60, 70)])
+    # A list of one holds the boxes once, where the tests would otherwise spell them out at every use.
+    held = F.transform(F.array(rect), lambda r: F.struct(r.alias("rect"), F.when(part % 2 != 0, F.array(*[r[i] + d for i, d in ((0, 2.0), (1, 2.0), (2, -2.0), (1, 2.0), (2, -2.0), (3, -2.0), (0, 2.0), (3, -2.0))])).alias("quad")))
+    cover = F.transform(held, lambda x: F.struct(G.covers_page_rect(x["rect"], page, x["quad"]).alias("rect"), G.covers_page_record(x["rect"].cast("array<double>"), page.cast("array<double>"), x["quad"]).alias("record")))
+    return t.select("k", "n", F.explode(cover).alias("c")).select("k", "n", F.col("c.rect").alias("covers_rect"), F.col("c.record").alias("covers_record"))
+
+
 _MESSAGES = """select o_orderkey as k, concat(case o_orderkey % 4 when 0 then '' when 1 then '-' when 2 then '+' else 'x' end, cast(o_custkey as varchar(20)), case o_custkey % 3 when 0 then '' when 1 then '.5' else '.7.8' end) as token,
   case o_orderkey % 7 when 0 then '' when 1 then 'bad decode array' when 2 then 'over the pixel limit' when 3 then 'size disagrees with the page' when 4 then 'no dictionary' when 5 then concat('segment type ', cast(o_custkey % 63 as varchar(20)), ' refused') else 'arithmetic' end as message,
   concat(case when o_custkey % 2 = 0 then '/data/in/' else '/other/' end, cast(o_orderkey as varchar(20))) as path, concat(repeat('x', cast(o_orderkey % 1100 as int)), '/Linearized 1') as content from {orders}"""
@@ -758,4 +771,4 @@ def bilevel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(grey):
         return {"ink": int(jbig2.decode(jbig2.embedded(grey < 128)).sum())}
 
-    return raster.over_rasters(rasters(spark, sf_dir), kernel, "ink bigint")
+    return raster.over_rasters(spread(rasters(spark, sf_dir)), kernel, "ink bigint")
