@@ -37,10 +37,8 @@ GROUP_WORDS = 2_000_000
 BLOCK_DOCUMENTS = 20_000
 #: Edges between units that one task contracts in order; more are contracted in rounds first.
 LOCAL_EDGES = 500_000
-#: Rows of a bucket that are compared all with all.
+#: Rows of a bucket that are compared all with all; larger ones are parted.
 DENSE = 512
-#: Orders in which a larger bucket is sorted.
-ROTATIONS = 4
 
 _MULTIPLIERS = (textkit.mix64(np.arange(1, COMPONENTS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 
@@ -130,61 +128,121 @@ def _in_buckets(k: int):
     return run
 
 
-def _in_stretches(k: int):
-    """Partners within overlapping stretches of DENSE rows of each run of equal ``run``; memory holds one stretch."""
+def _with_heads(k: int):
+    """Partners of each row (node, sketch) among the ``heads`` of its bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, node, s, fresh = None, np.zeros(0, np.int64), np.zeros((0, COMPONENTS), np.uint32), False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out: list = []
-            group, names = batch.column("run").to_numpy(zero_copy_only=False), batch.column("node").to_numpy(zero_copy_only=False)
-            rows = _matrix(pa.chunked_array([batch.column("sketch")]))
-            for x, y in zip(*spans(group)):
-                if group[x] != current:
-                    if fresh:
-                        _compare(node, s, k, out)
-                    current, node, s = group[x], node[:0], s[:0]
-                node, s, fresh = np.concatenate([node, names[x:y]]), np.concatenate([s, rows[x:y]]), True
-                while len(node) >= DENSE:
-                    _compare(node[:DENSE], s[:DENSE], k, out)
-                    node, s = node[DENSE // 2 :], s[DENSE // 2 :]
-                    fresh = len(node) > DENSE - DENSE // 2
-            found = _best(out, k)
-            if found:
-                yield from found.to_batches(max_chunksize=1 << 16)
-        if fresh:
-            out = []
-            _compare(node, s, k, out)
-            if found := _best(out, k):
-                yield from found.to_batches()
+            lists = batch.column("heads")
+            count, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            me = np.repeat(np.arange(batch.num_rows), count)
+            a, b = batch.column("node").to_numpy(zero_copy_only=False)[me], flat.field("node").to_numpy(zero_copy_only=False)
+            sim = (_matrix(pa.chunked_array([batch.column("sketch")]))[me] == _matrix(pa.chunked_array([flat.field("sketch")]))).sum(axis=1, dtype=np.int32)
+            other = a != b
+            found = _best([(a[other], b[other], sim[other])], k)
+            yield from found.to_batches(max_chunksize=1 << 16)
+
+    return run
+
+
+PAIRS = "a bigint, b bigint, sim int"
+KIDS = "parent bigint, k bigint, node bigint, sketch binary, hot int, reach int, tau int"
+
+
+def _kids(depth: int):
+    """The buckets into which those of ``depth`` components (id, last, node, sketch, hot, tau) part by one more, a later one.
+
+    ``hot`` are the components whose buckets on level 1 are large, ``reach``
+    the number of components that a row can share with others below.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last, hot = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("last", "hot"))
+            c = np.arange(COMPONENTS)
+            may = ((hot[:, None] >> c) & 1 == 1) & (c > last[:, None])
+            after = may.sum(axis=1)[:, None] - may.cumsum(axis=1)
+            row, c = np.nonzero(may)
+            s = _matrix(pa.chunked_array([batch.column("sketch")])).astype(np.int64)
+            kids = {x: batch.column(x).take(pa.array(row)) for x in ("node", "sketch", "hot", "tau")}
+            kids |= {"parent": batch.column("id").take(pa.array(row)), "k": pa.array((c << 32) + s[row, c]), "reach": pa.array((depth + 1 + after[row, c]).astype(np.int32))}
+            names = [x.split()[0] for x in KIDS.split(", ")]
+            yield from pa.table({x: kids[x] for x in names}).to_batches(max_chunksize=1 << 14)
 
     return run
 
 
+def _ranked(near: DataFrame, k: int) -> DataFrame:
+    """The k best partners of each a; ties go to the lower name."""
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
+    return near.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+
+
+def _all_with_all(buckets: DataFrame, k: int) -> DataFrame:
+    """Partners within buckets (k, node, sketch) of up to DENSE rows."""
+    return buckets.select("k", "node", "sketch").repartition("k").sortWithinPartitions("k", "node").mapInArrow(_in_buckets(k), PAIRS)
+
+
+def _in_large(members: DataFrame, won: DataFrame, k: int) -> DataFrame:
+    """The k best of ``won`` and of what ``members`` (id, last, node, sketch) of buckets above DENSE have in common.
+
+    A bucket holds the classes that agree on some components.  Let a class and
+    one of its k best partners agree on the components T, all of them with
+    large buckets (or they have met in a small one), and follow T from bucket
+    to bucket in order of the components.  If one on this way is of DENSE
+    classes at most, they meet there.  Else they are both in the bucket of T;
+    as all in it are partners as good as this one or better, and ties go to the
+    lower name, it is one of the k + 1 lowest names there, its heads.  So heads
+    on every level and all with all in small buckets find every partner, and no
+    large bucket meets in a task.  A class goes on only where it can still share
+    as many components with another as with its k-th partner so far, or where
+    one that can do so may need it.
+    """
+    bits = members.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1, last)")).alias("hot"))
+    now, depth, met = written(members.join(bits, "node"), "large-buckets"), 1, None
+    while True:
+        order = F.row_number().over(Window.partitionBy("id").orderBy("node"))
+        heads = now.select("id", "node", "sketch").withColumn("at", order).filter(F.col("at") <= k + 1).groupBy("id").agg(F.collect_list(F.struct("node", "sketch")).alias("heads"))
+        pairs = now.join(heads, "id").select("node", "sketch", "heads").mapInArrow(_with_heads(k), PAIRS)
+        before, won = won, written(_ranked(won.union(pairs if met is None else pairs.union(met)), k), "partners")
+        dropped(before)
+        tau = won.groupBy("a").agg(F.count("*").alias("have"), F.min("sim").alias("tau")).filter(F.col("have") == k).select(F.col("a").alias("node"), "tau")
+        rows = now.join(tau, "node", "left").withColumn("tau", F.coalesce("tau", F.lit(1))).select("id", "last", "node", "sketch", "hot", "tau")
+        kids = written(rows.mapInArrow(_kids(depth), KIDS), "parted-buckets")
+        need = F.min(F.when(F.col("reach") >= F.col("tau"), F.col("tau")))
+        sizes = kids.groupBy("parent", "k").agg(F.count("*").alias("m"), need.alias("need")).filter("m > 1 and need is not null")
+        sizes = written(sizes.withColumn("id", row_id()), "parted-sizes")
+        held = kids.join(sizes, ["parent", "k"]).filter("reach >= need")
+        met = _all_with_all(held.filter(F.col("m") <= DENSE).select(F.col("id").alias("k"), "node", "sketch"), k)
+        now = held.filter(F.col("m") > DENSE).select("id", F.shiftright("k", 32).cast("int").alias("last"), "node", "sketch", "hot")
+        if sizes.filter(F.col("m") > DENSE).isEmpty():
+            return _ranked(won.union(met), k)
+        now, depth = written(now, "large-buckets"), depth + 1
+
+
 def neighbours(classes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(a, b, sim): for every class (node, sketch) of equal sketches its k nearest others, by components they share.
 
     Classes that share a component meet in its bucket.  Buckets of up to DENSE
-    classes are compared all with all.  The classes of a larger one never meet
-    in one task: they are sorted, over the whole cluster, by their components
-    in several rotations, which puts those that agree on many next to each
-    other, and compared within overlapping stretches.  Ties go to the lower name.
+    classes are compared all with all.  Larger ones are parted by further
+    components until what is left is small, see ``_in_large``; no partner is
+    lost.  Ties go to the lower name.
     """
     slots = written(classes.select("node", "sketch").mapInArrow(_slots, "k bigint, node bigint"), "slots")
     sizes = written(slots.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1"), "slot-sizes")
     held = slots.join(sizes, "k").join(classes.select("node", "sketch"), "node")
-    kinds = "a bigint, b bigint, sim int"
-    near = held.filter(F.col("m") <= DENSE).select("k", "node", "sketch").repartition("k").sortWithinPartitions("k", "node").mapInArrow(_in_buckets(k), kinds)
-    if not sizes.filter(F.col("m") > DENSE).isEmpty():
-        turned = held.filter(F.col("m") > DENSE).withColumn("r", F.explode(F.array(*[F.lit(r) for r in range(ROTATIONS)])))
-        at = (4 * F.pmod(F.shiftright("k", 32) + 1 + F.col("r") * (COMPONENTS // ROTATIONS), F.lit(COMPONENTS))).cast("int")
-        turn = F.concat(F.expr("substring(sketch, at + 1)"), F.expr("substring(sketch, 1, at)"))
-        keyed = turned.withColumn("at", at).select((F.col("k") * ROTATIONS + F.col("r")).alias("run"), "node", "sketch", turn.alias("turn"))
-        near = near.union(keyed.repartitionByRange("run", "turn").sortWithinPartitions("run", "turn", "node").select("run", "node", "sketch").mapInArrow(_in_stretches(k), kinds))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return near.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    near = _all_with_all(held.filter(F.col("m") <= DENSE), k)
+    if sizes.filter(F.col("m") > DENSE).isEmpty():
+        return _ranked(near, k)
+    near = written(_ranked(near, k), "partners")
+    members = written(held.filter(F.col("m") > DENSE).select(F.col("k").alias("id"), F.shiftright("k", 32).cast("int").alias("last"), "node", "sketch"), "large-buckets")
+    large = written(members.select(F.col("node").alias("a")).distinct(), "large-nodes")
+    won = written(near.join(large, "a", "left_semi"), "partners")
+    return near.join(large, "a", "left_anti").union(_in_large(members, won, k))
 
 
 def _in_order(bound: int):

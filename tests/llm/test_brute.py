@@ -103,6 +103,32 @@ def brute_windows(rows, window, k):
     return out
 
 
+def families(seed, n_groups, each, share):
+    """Groups of relatives; all rows share passages with others, so that components have buckets of many rows."""
+    rng = random_rng(seed)
+    words = vocabulary(rng, 1500)
+    passages = [prose(rng, words, 60) for _ in range(3)]
+    rows = []
+    for _ in range(n_groups):
+        own = prose(rng, words, 120) + " " + " ".join(rng.sample(passages, 2))
+        rows += [(len(rows) + k, edited(rng, words, own, share), "en", "s") for k in range(each)]
+    return rows
+
+
+def test_neighbours_in_large_buckets_equal_brute_force(spark, monkeypatch):
+    """Every one of the k best partners, ties by name, however many classes share a component."""
+    for seed, n_groups, each, share, dense, k in ((74, 24, 5, 0.03, 16, 3), (75, 1, 90, 0.01, 24, 8)):
+        s, _ = packing.sketch(pa.array([r[1] for r in families(seed, n_groups, each, share)]))
+        s = np.unique(s, axis=0)
+        sim = (s[:, None, :] == s[None, :, :]).sum(axis=2)
+        assert max(Counter((c, x) for c in range(packing.COMPONENTS) for x in s[:, c].tolist()).values()) > 2 * dense
+        partners = [sorted((b for b in range(len(s)) if b != a and sim[a, b]), key=lambda b: (-sim[a, b], b)) for a in range(len(s))]
+        classes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(s)], "node bigint, sketch binary")
+        monkeypatch.setattr(packing, "DENSE", dense)
+        got = sorted(tuple(r) for r in packing.neighbours(classes, k).collect())
+        assert got == sorted((a, b, int(sim[a, b])) for a, bs in enumerate(partners) for b in bs[:k])
+
+
 def test_windows_equal_brute_force(spark):
     rng = random_rng(71)
     for seed, k in ((72, 8), (73, 2)):
