@@ -138,6 +138,16 @@ def test_windows_equal_brute_force(spark):
         assert sorted((tuple(r) for r in got), key=repr) == sorted(brute_windows(rows, 150, k), key=repr)
 
 
+def test_packing_stage_with_large_buckets_equals_brute_force(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = families(77, 18, 5, 0.03)
+    monkeypatch.setattr(packing, "DENSE", 16)
+    stage = dict(corpus_pipeline.STAGES)["packing"]
+    got = stage(spark, frame(spark, rows, clash=True).coalesce(1), "").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(brute_windows(rows, packing.WINDOW, packing.NEIGHBOURS), key=repr)
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
