@@ -30,6 +30,8 @@ MIN_WORDS = 50
 GRAM = 8
 #: Distinct stretches in a shard, at most on average.
 SHARD_PIECES = 10_000
+#: Pieces whose words a task remembers to have given.
+GIVEN = 1 << 18
 #: Occurrences from which a minimizer's windows are counted by their hashes instead of meeting in a shard.
 HOT_OCCURRENCES = 50_000
 
@@ -93,10 +95,12 @@ def windows_around(words: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.
 def _pieces(length: int):
     """Stretches around the repeated minimizers of each document, joined where they overlap within a shard, with two hashes of their words.
 
+    A copy of what a task has given in the same shard goes without its words.
     Minimizers of shard -1 give a row for each window around them instead, without words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
         for batch in batches:
             uid = batch.column("uid").to_numpy(zero_copy_only=False)
             lists = batch.column("anchors")
@@ -135,7 +139,12 @@ def _pieces(length: int):
                         out["start"].append(int(lo[f]))
                         out["p"].append((digest >> 64) - (1 << 63))
                         out["q"].append((digest & (1 << 64) - 1) - (1 << 63))
-                        out["words"].append(raw)
+                        known = (int(sh[f]), digest) in given
+                        out["words"].append(None if known else raw)
+                        if not known:
+                            if len(given) >= GIVEN:
+                                given.clear()
+                            given.add((int(sh[f]), digest))
                 yield pa.RecordBatch.from_pydict(out, schema=PIECES)
 
     return run
@@ -260,9 +269,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     without what separates them.  Rows of fewer words (null, empty) have no
     stretches; texts are read whole.  The end is exclusive.
 
-    The rows are written once with their numbers.  Equal pieces are counted
-    before they meet, so a shard gets each distinct piece once, whatever the
-    number of its copies.  The occurrences of a minimizer of more than
+    The rows are written once with their numbers.  Each task gives the words of
+    equal pieces once, and pieces go to their shard once, where copies are
+    counted before its index is built.  The occurrences of a minimizer of more than
     HOT_OCCURRENCES never meet: all windows around them are counted by a hash
     of 128 bits, which marks the same words.
     """
@@ -276,7 +285,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kinds = "shard int, uid bigint, start bigint, p bigint, q bigint, words binary"
     pieces = written(base.select("uid", "text").join(per, "uid").mapInArrow(_pieces(min_words), kinds), "pieces")
     dropped(anchors)
-    distinct = pieces.filter("shard >= 0").groupBy("shard", "p", "q").agg(F.count("*").alias("copies"), F.first("words").alias("words"))
+    shared = pieces.filter("shard >= 0").repartition("shard")
+    distinct = shared.groupBy("shard", "p", "q").agg(F.count("*").alias("copies"), F.first("words", ignorenulls=True).alias("words"))
     marks = written(distinct.groupBy("shard").applyInArrow(_mark_shard(min_words), "shard int, p bigint, q bigint, s bigint, e bigint"), "marks")
     placed = pieces.filter("shard >= 0").drop("words").join(marks, ["shard", "p", "q"]).select("uid", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
     hot = pieces.filter("shard < 0").select("uid", "start", "p", "q")

@@ -439,6 +439,24 @@ def test_passages_of_odd_rows_and_empty(spark):
     assert [(r.doc_id, r.n_words) for r in runindex.repeated_passages(frame(spark, twice)).collect()] == [(1, 60)] * 2
 
 
+def test_words_of_copied_pieces_are_given_once(spark, monkeypatch):
+    """A task gives the words of equal pieces once, and again when it has forgotten them; passages don't change."""
+    rng = random_rng(9)
+    words = vocabulary(rng)
+    texts = [prose(rng, words, 70), prose(rng, words, 90)] * 6
+    anchors = pa.array([[{"shard": 0, "pos": 20}]] * len(texts), pa.list_(pa.struct([("shard", pa.int32()), ("pos", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), anchors], names=["uid", "text", "anchors"])
+    halves = [batch.slice(0, 5), batch.slice(5)]
+    want = {(i, 0, n) for i in range(len(texts)) for n in (70, 90) if i % 2 == (n == 90)}
+    for given, often in ((1 << 18, 2), (1, 12)):
+        monkeypatch.setattr(runindex, "GIVEN", given)
+        got = pa.Table.from_batches(runindex._pieces(50)(halves))
+        assert got.num_rows == len(texts) and len(set(got.column("p").to_pylist())) == 2
+        assert got.num_rows - got.column("words").null_count == often
+    docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    assert {(r.doc_id, r.start_word, r.end_word) for r in runindex.repeated_passages(docs).collect()} == want
+
+
 def test_minimizers_of_equal_windows_are_equal():
     rng = random_rng(2)
     words = vocabulary(rng, 50)
