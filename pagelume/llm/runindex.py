@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelume.llm import textkit
-from pagelume.llm.storage import dropped, row_id, written
+from pagelume.llm.storage import dropped, row_id, written, written_by_batches
 
 #: Words of the shortest passage that is marked.
 MIN_WORDS = 50
@@ -276,14 +276,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     of 128 bits, which marks the same words.
     """
     base = written(docs.select(row_id().alias("uid"), "doc_id", F.col("text").cast("string").alias("text")), "rows")
-    anchors = written(base.select("uid", "text").mapInArrow(_anchors(min_words), "g bigint, uid bigint, pos bigint"), "anchors")
+    anchors = written_by_batches(base.select("uid", "text").mapInArrow(_anchors(min_words), "g bigint, uid bigint, pos bigint"), "anchors")
     often = written(anchors.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-minimizers")
     total = often.agg(F.sum(F.when(F.col("n") <= HOT_OCCURRENCES, F.col("n")))).first()[0] or 0
     shards = max(1, -(-total // SHARD_PIECES))
     shard = F.when(F.col("n") > HOT_OCCURRENCES, -1).otherwise(F.pmod(F.xxhash64("g"), F.lit(shards))).cast("int").alias("shard")
     per = anchors.join(often, "g").groupBy("uid").agg(F.collect_list(F.struct(shard, "pos")).alias("anchors"))
     kinds = "shard int, uid bigint, start bigint, p bigint, q bigint, words binary"
-    pieces = written(base.select("uid", "text").join(per, "uid").mapInArrow(_pieces(min_words), kinds), "pieces")
+    pieces = written_by_batches(base.select("uid", "text").join(per, "uid").mapInArrow(_pieces(min_words), kinds), "pieces")
     dropped(anchors)
     shared = pieces.filter("shard >= 0").repartition("shard")
     distinct = shared.groupBy("shard", "p", "q").agg(F.count("*").alias("copies"), F.first("words", ignorenulls=True).alias("words"))

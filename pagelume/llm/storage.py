@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch of texts on its way to Python, but for a row that alone has more.
+BATCH_BYTES = 4 << 20
 _local: dict[str, str] = {}
 _tables: list[str] = []
 
@@ -38,6 +41,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by_batches(df: DataFrame, name: str) -> DataFrame:
+    """``written``, for whole texts that go through Python: in Arrow batches of about BATCH_BYTES.
+
+    By rows alone a batch has 10,000 texts of any length, which the JVM and the
+    worker each hold several times.  The session's setting is put back.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH, None)
+    conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        return written(df, name)
+    finally:
+        if before is None:
+            conf.unset(_BATCH)
+        else:
+            conf.set(_BATCH, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,6 +1,8 @@
 """Small corpora for the tests."""
 
+import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -30,6 +32,20 @@ def edited(rng, words, text, share):
     return " ".join(rng.choice(words) if rng.random() < share else w for w in text.split(" "))
 
 
+def noting(run, path):
+    """``run`` for mapInArrow, which writes the bytes and rows of each batch that reaches it into the folder ``path``."""
+
+    def noted(batches):
+        def each():
+            for i, batch in enumerate(batches):
+                (path / f"{os.getpid()}-{time.time_ns()}-{i}").write_text(f"{batch.nbytes} {batch.num_rows}")
+                yield batch
+
+        yield from run(each())
+
+    return noted
+
+
 ODD = [
     (None, "a text without an id " * 5, "en", "x"),
     (900, None, "en", "x"),

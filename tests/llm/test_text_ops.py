@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelume.llm import chat, lines, mixing, pii, quality, runindex, textkit, warc
-from tests.llm.corpus import ODD, frame, prose, random_rng, vocabulary
+from tests.llm.corpus import ODD, frame, noting, prose, random_rng, vocabulary
 
 
 def with_duckdb(sql, **tables):
@@ -439,6 +439,26 @@ def test_passages_of_odd_rows_and_empty(spark):
     assert [(r.doc_id, r.n_words) for r in runindex.repeated_passages(frame(spark, twice)).collect()] == [(1, 60)] * 2
 
 
+def test_run_index_takes_texts_in_batches_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    rng = random_rng(8)
+    text = prose(rng, vocabulary(rng), 60_000)
+    docs = frame(spark, [(i, text, "en", "s") for i in range(60)]).coalesce(1)
+    for name in ("_anchors", "_pieces"):
+        (tmp_path / name).mkdir()
+        made = getattr(runindex, name)
+        monkeypatch.setattr(runindex, name, lambda length, made=made, name=name: noting(made(length), tmp_path / name))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "77777777")
+    try:
+        got = runindex.repeated_passages(docs).collect()
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "77777777"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert sorted((r.doc_id, r.n_words) for r in got) == [(i, 60_000) for i in range(60)]
+    for name in ("_anchors", "_pieces"):
+        size, rows = zip(*(map(int, x.read_text().split()) for x in (tmp_path / name).iterdir()))
+        assert sum(rows) == 60 and max(size) < (8 << 20)
+
+
 def test_words_of_copied_pieces_are_given_once(spark, monkeypatch):
     """A task gives the words of equal pieces once, and again when it has forgotten them; passages don't change."""
     rng = random_rng(9)
