@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pagelume.llm import textkit
 from pagelume.llm.buckets import runs, spans
 from pagelume.llm.graph import components
-from pagelume.llm.storage import dropped, kind_of, row_id, written
+from pagelume.llm.storage import dropped, kind_of, row_id, written, written_by_batches
 
 SHINGLE = 5
 COMPONENTS = 16
@@ -440,7 +440,7 @@ def pack(docs: DataFrame, window: int = WINDOW, k: int = NEIGHBOURS) -> DataFram
     """
     base = docs.select(row_id().alias("uid"), "doc_id", F.col("text").cast("string").alias("text"))
     kind = kind_of(docs, "doc_id")
-    sketches = written(base.mapInArrow(_sketches, f"uid bigint, doc_id {kind}, n bigint, sketch binary"), "sketches")
+    sketches = written_by_batches(base.mapInArrow(_sketches, f"uid bigint, doc_id {kind}, n bigint, sketch binary"), "sketches")
     classes = classes_of(sketches)
     edges = written(neighbours(classes, k), "neighbours")
     roots = components(edges)

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from pagelume.llm import packing
-from tests.llm.corpus import ODD, edited, frame, prose, random_rng, vocabulary
+from tests.llm.corpus import ODD, edited, frame, noting, prose, random_rng, vocabulary
 
 #: A word as textkit defines it: everything beyond ASCII belongs to words.
 WORD = "[0-9a-z_\x80-\U0010ffff]+"
@@ -217,6 +217,17 @@ def test_pack_empty(spark):
     assert packing.pack(frame(spark, [(1, None, None, None), (2, "", "en", "s")])).count() == 0
 
 
+def test_packing_takes_texts_in_batches_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    rng = random_rng(8)
+    text = prose(rng, vocabulary(rng), 60_000)
+    rows = [(i, text, "en", "s") for i in range(60)]
+    monkeypatch.setattr(packing, "_sketches", noting(packing._sketches, tmp_path))
+    got = packing.pack(frame(spark, rows).coalesce(1)).collect()
+    assert check_windows(rows, got, packing.WINDOW) <= 2
+    size, count = zip(*(map(int, x.read_text().split()) for x in tmp_path.iterdir()))
+    assert sum(count) == 60 and max(size) < (8 << 20)
+
+
 # --- pipeline -------------------------------------------------------------
 
 
