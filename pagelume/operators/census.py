@@ -9,6 +9,7 @@ from pagelume.functions import classify as C
 from pagelume.functions import geometry as G
 from pagelume.functions.text import bucket_labels, refusal_class
 from pagelume.operators.ranks import floor_percentiles
+from pagelume.plans.shared import written
 
 EDGES = (0.0, 0.01, 0.05, 0.1, 0.5, 1.0, 2.0, 5.0, 15.0, float("inf"))
 LABELS = bucket_labels(EDGES)
@@ -69,53 +70,68 @@ def bucket(value: Column) -> Column:
     return F.when(value.isNotNull(), out.otherwise(len(EDGES) - 1))
 
 
+def unrolled(df: DataFrame, totals: dict[tuple[str, str], Column]) -> DataFrame:
+    """(section, name, value): each total over all rows, 0 if there are none."""
+    wide = df.agg(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(totals.values())])
+    rows = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), F.coalesce(F.col(f"x{i}"), F.lit(0.0)).alias("value")) for i, (s, n) in enumerate(totals)])
+    return wide.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def placement_census(facts: DataFrame) -> DataFrame:
     """(section, name, value) over placements with their facts.
 
-    Pages are closed per (doc, page_index): first one aggregate per page, then
-    one over all pages; percentiles are exact ranks.
+    The facts are worked out once, into a table of what is counted.  Placements
+    are counted by shear, for their bins and exact percentiles; pages are
+    closed per (doc, page_index) with a few numbers each, then counted;
+    documents are counted by themselves, as pages grouped by document would
+    move all of their numbers.
     """
     shear, skew = F.col("shear_deg"), F.col("skew_deg")
     real = F.col("placement_index") >= 0
     sound, top = real & ~F.col("degenerate"), F.col("is_top")
-
-    def hit(t: float) -> Column:
-        return sound & (shear > t) & (shear <= G.MAX_SKEW) & (skew <= G.MAX_SKEW)
-
-    tops = [F.max(F.coalesce((hit(t) & top).cast("int"), F.lit(0))).alias(f"top{i}") for i, t in enumerate(THRESHOLDS)]
-    anys = [F.max(F.coalesce(hit(t).cast("int"), F.lit(0))).alias(f"any{i}") for i, t in enumerate(THRESHOLDS)]
-    pages = facts.groupBy("doc", "page_index").agg(
-        F.max("n_placements").alias("n"),
-        F.max("page_reason").alias("reason"),
-        F.count_if(real).alias("placements"),
-        F.count_if(real & F.col("degenerate")).alias("degenerate"),
-        F.max(F.when(top & real, F.col("degenerate"))).alias("top_degenerate"),
-        F.max(F.when(top & sound, shear)).alias("top_shear"),
-        *[F.count_if(sound & (bucket(shear) == i)).alias(f"b{i}") for i in range(len(EDGES))],
-        *tops,
-        *anys,
+    gated = sound & (shear <= G.MAX_SKEW) & (skew <= G.MAX_SKEW)
+    slim = written(
+        facts.select(
+            "doc",
+            "page_index",
+            F.col("n_placements").alias("n"),
+            (F.col("page_reason") != "").alias("refused"),
+            real.alias("real"),
+            (real & F.col("degenerate")).alias("degenerate"),
+            (top & real).alias("top"),
+            F.when(sound, shear).alias("shear"),
+            gated.alias("gated"),
+        ),
+        "placements",
     )
-    clean = F.col("reason") == ""
-    totals = {
-        ("total", "documents"): F.countDistinct("doc"),
+    shear, top, gated = F.col("shear"), F.col("top"), F.col("gated")
+    counts = written(slim.groupBy("shear", "real", "degenerate").agg(F.count("*").alias("n"), F.count_if(top).alias("tops")), "shears")
+    pages = slim.groupBy("doc", "page_index").agg(
+        F.max("n").alias("n"),
+        F.max("refused").alias("refused"),
+        F.max(F.when(top, F.col("degenerate"))).alias("top_degenerate"),
+        F.max(F.when(top, shear)).alias("top_shear"),
+        F.max(F.when(gated & top, shear)).alias("gated_top"),
+        F.max(F.when(gated, shear)).alias("gated_any"),
+    )
+    by_page = {
         ("total", "pages"): F.count("*"),
         ("total", "image_bearing_pages"): F.count_if(F.col("n") > 0),
-        ("total", "placements"): F.sum("placements"),
-        ("total", "degenerate_placements"): F.sum("degenerate"),
-        ("total", "degenerate_top_pages"): F.count_if(F.col("top_degenerate")),
+        ("total", "degenerate_top_pages"): F.count_if("top_degenerate"),
+    }
+    by_shear = {
+        ("total", "placements"): F.sum(F.when(F.col("real"), F.col("n"))),
+        ("total", "degenerate_placements"): F.sum(F.when(F.col("degenerate"), F.col("n"))),
     }
     for i, label in enumerate(LABELS):
-        totals["placement", label] = F.sum(f"b{i}")
-        totals["page_top", label] = F.count_if(bucket(F.col("top_shear")) == i)
-    for i, t in enumerate(THRESHOLDS):
-        totals["gated_top", f"{t:g}"] = F.count_if(clean & (F.col(f"top{i}") == 1))
-        totals["gated_any", f"{t:g}"] = F.count_if(clean & (F.col(f"any{i}") == 1))
-    wide = pages.agg(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(totals.values())])
-    rows = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), F.col(f"x{i}").alias("value")) for i, (s, n) in enumerate(totals)])
-    counts = wide.select(F.explode(rows).alias("r")).select("r.*").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    each = floor_percentiles(facts.filter(sound).select(shear), "shear_deg", SHARES).select(F.lit("placement_percentile").alias("section"), "name", "value")
-    page = floor_percentiles(facts.filter(sound & top).select(shear), "shear_deg", SHARES).select(F.lit("page_top_percentile").alias("section"), "name", "value")
-    return counts.unionByName(each).unionByName(page).withColumn("value", F.round("value", 6))
+        by_shear["placement", label] = F.sum(F.when(bucket(shear) == i, F.col("n")))
+        by_page["page_top", label] = F.count_if(bucket(F.col("top_shear")) == i)
+    for t in THRESHOLDS:
+        for section in ("gated_top", "gated_any"):
+            by_page[section, f"{t:g}"] = F.count_if(~F.col("refused") & (F.col(section) > t))
+    totals = unrolled(pages, by_page).unionByName(unrolled(counts, by_shear)).unionByName(unrolled(slim, {("total", "documents"): F.countDistinct("doc")}))
+    ranks = floor_percentiles(counts, "shear", {"placement_percentile": "n", "page_top_percentile": "tops"}, SHARES)
+    return totals.unionByName(ranks).withColumn("value", F.round("value", 6))
 
 
 def annotation_facts(annots: DataFrame) -> DataFrame:
